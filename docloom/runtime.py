@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import io
 import tempfile
 import uuid
 import zipfile
@@ -51,16 +51,14 @@ def ship_package(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if is_local(spark) or app in _SHIPPED:
         return
-    root = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as tmp:
-        target = os.path.join(tmp, f"docloom_{uuid.uuid4().hex[:8]}.zip")
-        with zipfile.ZipFile(target, "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent))
-        spark.sparkContext.addPyFile(target)
+    root, data = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    target = work_path(spark, "code") + "/docloom_code.zip"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    stream.write(bytearray(data.getvalue()))
+    stream.close()
+    spark.sparkContext.addPyFile(target)
     _SHIPPED.add(app)
-
-
-def input_partitions(spark: SparkSession, rows: int, per_task: int, least: int = 1) -> int:
-    """Partitions for a stage whose cost is per row, never below the session's own setting for small data."""
-    return max(least, -(-rows // per_task))
