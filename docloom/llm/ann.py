@@ -308,7 +308,7 @@ def similar(
     dim: int = 384,
     k: int = 10,
     floor: float | None = None,
-    base_cells: int = 5,
+    base_cells: int = 7,
     query_cells: int = 1,
     query_every: int = 1,
     shortlist: int = 96,
