@@ -77,46 +77,60 @@ _ENDING = tuple(".!?…:\"'»”)")
 FEATURES = ["words", "word_len", "symbols", "digits", "line_end", "common", "known", "fit", "misfit", "misfit_less", "misfit_more", "strange", "repeated", "same_sentence", "bullets", "cells", "fields", "short_lines", "long_words", "line_words", "sentence_words", "capitals", "bad", "bad_less", "bad_more"]
 
 
-def _classes(tokens: list[str], paired: dict[str, int], known: set[str]) -> list[int]:
-    """Number of each token's class: its own for frequent words, else one of the shapes 0..7."""
-    out = []
-    for t in tokens:
-        c = t[0]
+#: Words that a worker keeps the codes of.
+MOST_CODES = 300_000
+ALPHA, DIGIT, IS_COMMON, IS_KNOWN, CAPITAL, SYMBOL = (1 << k for k in range(12, 18))
+
+
+class Codes(dict):
+    """A token's number: the class in the low 12 bits (its own for frequent words, else one of the shapes 0..7), then flags."""
+
+    def __init__(self, paired: dict[str, int], known: set[str], common: set[str]):
+        super().__init__()
+        self.paired, self.known, self.common = paired, known, common
+
+    def __missing__(self, token: str) -> int:
+        c = token[0]
         if c.isalpha():
-            low = t.lower()
-            k = paired.get(low)
-            if k is None:
-                k = (1 if low in known else 2) + (2 if c.isupper() else 0)
-            out.append(k)
+            low, upper = token.lower(), c.isupper()
+            known = low in self.known
+            code = self.paired.get(low, (1 if known else 2) + (2 if upper else 0))
+            code |= ALPHA | IS_KNOWN * known | IS_COMMON * (low in self.common) | CAPITAL * upper
+        elif c.isdigit():
+            code = 5 | DIGIT
         else:
-            out.append(5 if c.isdigit() else 6 if c in ".!?" else 7 if c in ",;:" else 0)
-    return out
+            code = (6 if c in ".!?" else 7 if c in ",;:" else 0) | (0 if c.isalnum() else SYMBOL)
+        if len(self) >= MOST_CODES:
+            self.clear()
+        self[token] = code
+        return code
 
 
 def _pairs(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        paired, known = shared.value[:2]
-        total: Counter = Counter()
+        codes = Codes(*shared.value, set())
         for batch in batches:
+            keys = []
             for text in batch.column(0):
-                c = _classes(_WORD.findall(text.as_py()), paired, known)
-                total.update(zip(c, c[1:]))
-        if total:
-            a, b = zip(*total)
-            yield pa.record_batch([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(total.values(), pa.int64())], names=["a", "b", "n"])
+                c = np.fromiter(map(codes.__getitem__, _WORD.findall(text.as_py())), np.int64) & 0xFFF
+                keys.append(c[:-1] << 12 | c[1:])
+            key, n = np.unique(np.concatenate(keys), return_counts=True)
+            yield pa.record_batch([pa.array((key >> 12).astype(np.int32)), pa.array((key & 0xFFF).astype(np.int32)), pa.array(n)], names=["a", "b", "n"])
 
     return run
 
 
-def _features_of(text: str, paired: dict[str, int], known: set[str], common: set[str], fits: np.ndarray) -> list[float]:
+def _features_of(text: str, codes: Codes, fits: np.ndarray) -> list[float]:
     n = len(text)
     found = list(_WORD.finditer(text))
     tokens = [m.group() for m in found]
-    at = np.array([m.start() for m in found], np.int64)
-    kinds = np.array(_classes(tokens, paired, known), np.int64)
-    alpha = [t.lower() for t in tokens if t[0].isalpha()]
-    wordy = max(1, len(alpha))
+    at = np.fromiter((m.start() for m in found), np.int64, len(found))
+    code = np.fromiter(map(codes.__getitem__, tokens), np.int64, len(tokens))
+    length = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    kinds, alpha = code & 0xFFF, (code & ALPHA) != 0
+    wordy = max(1, int(alpha.sum()))
     spaced = text.split()
+    letters_in = sum(map(len, spaced))
     fit = fits[kinds[:-1], kinds[1:]] if len(kinds) > 1 else np.zeros(1)
     # Runs of WINDOW tokens, each weighing as many characters as it spans.
     edges = np.arange(0, max(1, len(fit)), WINDOW)
@@ -148,17 +162,17 @@ def _features_of(text: str, paired: dict[str, int], known: set[str], common: set
     share = lambda some: sum(map(len, some)) / size
     return [
         float(len(spaced)),
-        sum(map(len, spaced)) / max(1, len(spaced)),
-        sum(len(t) for t in tokens if not t[0].isalnum()) / n,
-        sum(len(t) for t in tokens if t[0].isdigit()) / n,
+        letters_in / max(1, len(spaced)),
+        float(length[(code & SYMBOL) != 0].sum()) / n,
+        float(length[(code & DIGIT) != 0].sum()) / n,
         sum(s.rstrip().endswith(_ENDING) for s in lines) / max(1, len(lines)),
-        sum(w in common for w in alpha) / wordy,
-        sum(w in known for w in alpha) / wordy,
+        float(((code & IS_COMMON) != 0).sum()) / wordy,
+        float(((code & IS_KNOWN) != 0).sum()) / wordy,
         float(fit.mean()),
         float(weight[mean < 0.6].sum()),
         float(weight[mean < 0.3].sum()),
         float(weight[mean < 0.9].sum()),
-        sum(len(w) for w in alpha if w not in known) / n,
+        float(length[alpha & ((code & IS_KNOWN) == 0)].sum()) / n,
         share([s for s, k in zip(lines, again) if k]),
         sum(len(s) for s in sentences if parts[s] > 2) / size,
         share([s for s, k in zip(lines, bullet) if k]),
@@ -168,15 +182,17 @@ def _features_of(text: str, paired: dict[str, int], known: set[str], common: set
         sum(len(w) for w in spaced if len(w) > 28) / n,
         len(spaced) / max(1, len(lines)),
         len(spaced) / max(1, len(sentences)),
-        sum(t[0].isupper() for t in tokens if t[0].isalpha()) / wordy,
+        float(((code & CAPITAL) != 0).sum()) / wordy,
         *bad,
     ]
 
 
 def _featured(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        *tables, fits = shared.value
+        codes = Codes(*tables)
         for batch in batches:
-            rows = [_features_of(t.as_py(), *shared.value) for t in batch.column(1)]
+            rows = [_features_of(t.as_py(), codes, fits) for t in batch.column(1)]
             cols = np.array(rows, np.float64).reshape(len(rows), len(FEATURES))
             yield pa.record_batch([batch.column(0), *(pa.array(cols[:, j]) for j in range(len(FEATURES)))], names=["id", *FEATURES])
 
