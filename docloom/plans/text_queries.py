@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.functions import chunker
+from docloom.functions import chunker, embed
 from docloom.functions import text as T
 from docloom.operators import filters as N
 from docloom.plans.search_queries import CURRENT, files_now
 from docloom.runtime import ship_package, table
+from docloom.sources import listing, office
 
 
 def chunk_text(spark, sf):
@@ -73,7 +74,53 @@ def document_dedup(spark, sf):
     return d.groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
-QUERIES = {f.__name__: f for f in (chunk_text, sanitize_text, plain_text_read, pdf_line_repair, path_parts, target_filter, extension_route, mime_sniff, content_hash, content_hash_xxh64, document_dedup)}
+def _packed(spark, sf, kind):
+    """The documents as Office files in memory."""
+    ship_package(spark)
+
+    def run(batches):
+        import io
+        import zipfile
+        from xml.sax.saxutils import escape
+
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for t in b.column(1).to_pylist():
+                paragraphs = "".join(f"<p><t>{escape(''.join(c for c in x if c >= ' '))}</t></p>" for x in (t or "").split(chr(10)))
+                data = io.BytesIO()
+                with zipfile.ZipFile(data, "w") as z:
+                    z.writestr("word/document.xml" if kind == "docx" else "ppt/slides/slide1.xml", f"<d>{paragraphs}</d>")
+                out.append(data.getvalue())
+            yield pa.record_batch([pa.array([f"{i}.{kind}" for i in b.column(0).to_pylist()]), pa.array(out, pa.binary())], names=["path", "content"])
+
+    return table(spark, sf, "documents").select("doc_id", "text").mapInArrow(run, "path string, content binary")
+
+
+def docx_extract(spark, sf):
+    return office.extract_all(_packed(spark, sf, "docx"))
+
+
+def pptx_extract(spark, sf):
+    return office.extract_all(_packed(spark, sf, "pptx"))
+
+
+def pdf_extract(spark, sf):
+    """Texts as the pages of a PDF reader would give them (form feeds part pages)."""
+    pages = table(spark, sf, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return office.extract_all(pages, pdf=lambda data: data.decode().split(chr(12)))
+
+
+def embed_text(spark, sf):
+    return embed.embed(table(spark, sf, "chunks").select("id", "content").distinct(), "id", "content")
+
+
+def directory_scan(spark, sf):
+    return listing.list_tree(spark, [sf]).where("not is_dir").select(T.basename(F.col("path")).alias("name"), "size")
+
+
+QUERIES = {f.__name__: f for f in (chunk_text, sanitize_text, plain_text_read, pdf_line_repair, path_parts, target_filter, extension_route, mime_sniff, content_hash, content_hash_xxh64, document_dedup, docx_extract, pptx_extract, pdf_extract, embed_text, directory_scan)}
 
 _S = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
