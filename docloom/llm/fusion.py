@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.runtime import materialize
+
 
 @dataclass(frozen=True)
 class Scores:
@@ -51,7 +53,8 @@ def ranked(lists: list[Scores], group: str, item: str) -> DataFrame:
     for k, s in enumerate(lists):
         one = _best(s, k, group, item)
         best = one if best is None else best.unionByName(one)
-    counts = best.groupBy("list", "g", "v").agg(F.count("*").alias("tied"))
+    best = materialize(best, "scores")
+    counts = materialize(best.groupBy("list", "g", "v").agg(F.count("*").alias("tied")), "counts")
     steps = [k / PARTS for k in range(1, PARTS)]
     cuts = counts.groupBy("list", "g").agg(F.percentile_approx("v", steps, 1000).alias("cuts"))
     parted = counts.join(cuts, ["list", "g"]).withColumn("part", F.size(F.filter(F.array_distinct("cuts"), lambda c: c < F.col("v")))).drop("cuts")
@@ -69,7 +72,7 @@ def borda(lists: list[Scores], group: str, item: str, top: int | None = None, am
     top keeps the first ones; among (with least_lists) then keeps, before that, items near the top of enough lists.
     """
     k = len(lists)
-    marks = ranked(lists, group, item)
+    marks = materialize(ranked(lists, group, item), "ranks")
     weight: Column = F.element_at(F.array(*[F.lit(float(s.weight)) for s in lists]), F.col("list") + 1)
     # With u items in all, rank r and n scored: u - r for a scored item, (u - n - 1) / 2 for one that isn't.
     rank = F.col("above") + (F.col("tied") + 1) / 2
