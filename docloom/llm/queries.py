@@ -43,7 +43,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_knn(spark: SparkSession, sf: str) -> DataFrame:
     """The ten most similar vectors of every chunk whose id is divisible by 50, against all."""
-    near = ann.similar(table(spark, sf, "vec_chunks"), "chunk_id", "embedding", k=10, base_cells=1, query_cells=48, query_every=50)
+    near = ann.similar(table(spark, sf, "vec_chunks"), "chunk_id", "embedding", k=10, base_cells=1, query_cells=48, query_every=50, shortlist=64, subspaces=96)
     return near.select(F.col("id").alias("chunk_id"), "neighbour", "cosine", "rank")
 
 
