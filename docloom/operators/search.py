@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.functions import vector as V
+from docloom.runtime import materialize
 
 K, CUTOFF, RRF = 50, 0.8, 60
 K1, B = 1.2, 0.75
@@ -61,10 +62,25 @@ def bm25(matches: DataFrame) -> DataFrame:
     return matches.where("tf > 0").select("chunk_id", (-score).alias("rank"))
 
 
+def numbered(words: DataFrame) -> DataFrame:
+    """(chunk_id, rank_fts): places by (rank, chunk_id), without bringing all matches together.
+
+    Only the distinct ranks, which are as many as there are pairs of term count and length, are summed up in one task;
+    matches of equal rank are numbered by blocks of 65,536 ids.
+    """
+    words = materialize(words.withColumn("b", F.shiftright("chunk_id", 16)), "matches")
+    blocks = words.groupBy("rank", "b").agg(F.count("*").alias("n"))
+    ranks = blocks.groupBy("rank").agg(F.sum("n").alias("m"))
+    ranks = ranks.select("rank", (F.sum("m").over(Window.orderBy("rank")) - F.col("m")).alias("above"))
+    blocks = blocks.select("rank", "b", (F.sum("n").over(Window.partitionBy("rank").orderBy("b")) - F.col("n")).alias("earlier"))
+    own = F.row_number().over(Window.partitionBy("rank", "b").orderBy("chunk_id"))
+    return words.join(blocks, ["rank", "b"]).join(ranks, "rank").select("chunk_id", (F.col("above") + F.col("earlier") + own).alias("rank_fts"))
+
+
 def reciprocal_ranks(near: DataFrame, words: DataFrame) -> DataFrame:
-    """(chunk_id, combined_score): candidates of either list; only candidates are numbered."""
+    """(chunk_id, combined_score): candidates of either list. near holds at most k rows, so one task numbers them."""
     a = near.select("chunk_id", F.row_number().over(Window.orderBy("distance", "chunk_id")).alias("rank_vec"))
-    b = words.select("chunk_id", F.row_number().over(Window.orderBy("rank", "chunk_id")).alias("rank_fts"))
+    b = numbered(words)
     part = lambda c: F.coalesce(F.lit(1.0) / (RRF + F.col(c)), F.lit(0.0))
     return a.join(b, "chunk_id", "full").select("chunk_id", F.round(part("rank_vec") + part("rank_fts"), 9).alias("combined_score"))
 

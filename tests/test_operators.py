@@ -195,3 +195,9 @@ def test_embedding(spark):
     got = {r.id: r for r in embed.embed(rows, "id", "t").collect()}
     assert got[1].embedding == got[2].embedding and len(got[1].embedding) == 384 and got[3].error and got[4].embedding is None
     assert sum(x * x for x in got[1].embedding) == pytest.approx(1, abs=0.01)
+
+
+def test_places_of_tied_matches(spark):
+    rows = [(i * 40_000, -float(i % 3)) for i in range(30)] + [(7, -1.0)]
+    got = {r.chunk_id: r.rank_fts for r in search.numbered(spark.createDataFrame(rows, "chunk_id long, rank double")).collect()}
+    assert got == {c: k for k, (c, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])), 1)}
