@@ -3,7 +3,8 @@
 Coarse centroids split the vectors into cells. A vector is kept in its nearest cells as the code of its
 residual (one byte for each group of dimensions); a query walks the cells it probes and scores all their codes
 by asymmetric distance (exact query against coded vectors, see asymmetric()). The shortlist is re-ranked with exact
-cosines.
+cosines. With a floor, no shortlist is cut: where more codes pass than it holds, the query is compared exactly with
+all vectors that passed in its cell, in blocks.
 
 Defined results
 * Usable is a vector that is not null, has ``dim`` finite values and is not all zero; all others are left out.
@@ -223,21 +224,41 @@ def _groups(keys: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarra
         yield int(k[a]), rows[order[a:b]]
 
 
-CANDIDATE = "x_id long, q_id long, score float, q_vec binary"
+CANDIDATE = "x_id long, q_id long, score float, q_vec binary, cell int, blk int"
 
 
-def _scorer(shared, dim: int, base_cells: int, shortlist: int, mutual: bool):
-    """Sorted packed rows of cells to candidate pairs, by asymmetric distance tables."""
+def _candidates(x_ids, q_ids, scores=None, vecs=None, at=(None, None)) -> pa.RecordBatch:
+    n = len(x_ids)
+    return pa.record_batch(
+        [pa.array(x_ids, pa.int64()), pa.array(q_ids, pa.int64()), pa.array([None] * n if scores is None else scores, pa.float32()),
+         pa.array([None] * n if vecs is None else vecs, pa.binary()), pa.array([at[0]] * n, pa.int32()), pa.array([at[1]] * n, pa.int32())],
+        names=["x_id", "q_id", "score", "q_vec", "cell", "blk"],
+    )
+
+
+def _scorer(shared, dim: int, base_cells: int, shortlist: int, mutual: bool, whole: bool):
+    """Sorted packed rows of cells to candidate pairs, by asymmetric distance tables.
+
+    Where more than shortlist codes pass for a query, the best are kept, or if whole, the query and all that passed for
+    it come out as members of the cell's block (rows of only q_id or only x_id), to be compared exactly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
         m = index.codebooks.shape[0]
         record = np.dtype([("id", "<i8"), ("home", "<i4"), ("tau", "<f4"), ("code", "u1", m)])
-        at, held, base = None, [], None
+        at, held, base, asking, passed = None, [], None, [], None
+
+        def crowded() -> Iterator[pa.RecordBatch]:
+            if asking:
+                q, x = np.unique(np.concatenate(asking)), np.unique(base["id"][passed])
+                yield _candidates([None] * len(q), q, at=at)
+                yield _candidates(x, [None] * len(x), at=at)
+
         for batch in batches:
             for cell, blk, kind, n, data, vecs in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if (cell, blk) != at:
-                    at, held, base = (cell, blk), [], None
+                    yield from crowded()
+                    at, held, base, asking = (cell, blk), [], None, []
                 if kind == 0:
                     held.append(np.frombuffer(data, record))
                     continue
@@ -246,6 +267,7 @@ def _scorer(shared, dim: int, base_cells: int, shortlist: int, mutual: bool):
                         continue
                     base = np.concatenate(held)
                     approx = decode(index, base["code"], base["home"])
+                    passed = np.zeros(len(base), bool)
                 ids = np.frombuffer(data[: 8 * n], "<i8")
                 probes = np.frombuffer(data[8 * n :], "<i4").reshape(n, -1)
                 raw = _unpack(vecs, dim)
@@ -257,7 +279,12 @@ def _scorer(shared, dim: int, base_cells: int, shortlist: int, mutual: bool):
                     r, c = np.divmod(np.flatnonzero(score >= base["tau"]), len(base))
                     other = ids[i + r] != base["id"][c]
                     r, c = r[other], c[other]
-                    if shortlist and len(r) and np.bincount(r).max() > shortlist:
+                    many = np.bincount(r, minlength=len(some)) > shortlist
+                    if whole and many.any():
+                        asking.append(ids[i : i + step][many])
+                        passed[c[many[r]]] = True
+                        r, c = r[~many[r]], c[~many[r]]
+                    elif many.any():
                         order = np.lexsort((-score[r, c], r))
                         r, c = r[order], c[order]
                         first = np.flatnonzero(np.r_[True, np.diff(r) != 0])
@@ -270,14 +297,91 @@ def _scorer(shared, dim: int, base_cells: int, shortlist: int, mutual: bool):
                         r, c = r[fine], c[fine]
                     if len(r):
                         packed = {k: _pack(raw[i + k : i + k + 1]) for k in np.unique(r).tolist()}
-                        yield pa.record_batch(
-                            [pa.array(base["id"][c]), pa.array(ids[i + r]), pa.array(score[r, c].astype(np.float32)), pa.array([packed[k] for k in r.tolist()], pa.binary())],
-                            names=["x_id", "q_id", "score", "q_vec"],
-                        )
+                        yield _candidates(base["id"][c], ids[i + r], score[r, c], [packed[k] for k in r.tolist()])
+        yield from crowded()
 
     return run
 
 
+class _Best:
+    """Exact running k most similar (distinct ids, ties to the smaller) of each query of a block."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, floor: float):
+        self.ids, self.q, self.k, self.floor = ids, q, k, floor
+        self.unit = q / np.linalg.norm(q, axis=1, keepdims=True)
+        self.kth = np.full(len(ids), floor)
+        self.row, self.near, self.cos = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, ids: np.ndarray, x: np.ndarray, step: int = 512) -> None:
+        order = np.argsort(ids, kind="stable")
+        ids, x = ids[order], x[order]
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        first = np.flatnonzero(np.r_[True, np.diff(ids) != 0])
+        rows, cols = [], []
+        for i in range(0, len(self.ids), step):
+            s = self.unit[i : i + step] @ u.T
+            s[self.ids[i : i + step, None] == ids] = -2
+            bar = self.kth[i : i + step]
+            if len(first) > self.k:
+                each = s if len(first) == len(ids) else np.maximum.reduceat(s, first, axis=1)
+                bar = np.maximum(bar, np.partition(each, len(first) - self.k, axis=1)[:, len(first) - self.k])
+            r, c = np.nonzero(s >= bar[:, None] - 1e-9)
+            rows.append(i + r)
+            cols.append(c)
+        r, c = np.concatenate(rows), np.concatenate(cols)
+        cos = np.concatenate([_cosines(x[c[i : i + 8192]], self.q[r[i : i + 8192]]) for i in range(0, len(r), 8192)] or [np.zeros(0)])
+        ok = cos >= self.floor
+        row, near, cos = np.r_[self.row, r[ok]], np.r_[self.near, ids[c[ok]]], np.r_[self.cos, cos[ok]]
+        order = np.lexsort((-cos, near, row))
+        row, near, cos = row[order], near[order], cos[order]
+        new = np.r_[True, (np.diff(row) != 0) | (np.diff(near) != 0)][: len(row)]
+        row, near, cos = row[new], near[new], cos[new]
+        order = np.lexsort((near, -cos, row))
+        row, near, cos = row[order], near[order], cos[order]
+        starts = np.flatnonzero(np.r_[True, np.diff(row) != 0][: len(row)])
+        place = np.arange(len(row)) - np.repeat(starts, np.diff(np.r_[starts, len(row)]))
+        last = place == self.k - 1
+        self.kth[row[last]] = cos[last]
+        self.row, self.near, self.cos = row[place < self.k], near[place < self.k], cos[place < self.k]
+
+    def found(self) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(self.ids[self.row]), pa.array(self.near), pa.array(self.cos)], names=["q_id", "x_id", "cosine"])
+
+
+def _exhaust(dim: int, k: int, floor: float):
+    """Vectors of crowded blocks (cell, blk, kind, id, embedding), sorted, the queries (kind 0) of a block before what
+    passed for them (kind 1), to each query's k most similar. The queries of one block are held, the others stream by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, best = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell, blk, kind, ids = (np.asarray(batch.column(i)) for i in range(4))
+            x = np.asarray(batch.column(4).flatten(), np.float32).reshape(-1, dim)
+            turn = np.flatnonzero(np.r_[True, (np.diff(cell) != 0) | (np.diff(blk) != 0) | (np.diff(kind) != 0)])
+            for a, b in zip(turn, np.r_[turn[1:], len(ids)]):
+                if (cell[a], blk[a]) != at:
+                    if best is not None:
+                        yield best.found()
+                    at, held, best = (cell[a], blk[a]), [], None
+                if kind[a] == 0:
+                    held.append((ids[a:b], x[a:b]))
+                    continue
+                if best is None:
+                    best = _Best(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]).astype(np.float64), k, floor)
+                for i in range(a, b, 4096):
+                    best.add(ids[i : min(b, i + 4096)], x[i : min(b, i + 4096)].astype(np.float64))
+        if best is not None:
+            yield best.found()
+
+    return run
+
+
+def _cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return (x * q).sum(1) / np.sqrt((x * x).sum(1) * (q * q).sum(1))
+
+
 def _rerank(dim: int, floor: float | None):
     """(embedding of x_id, x_id, q_id, q_vec) to exact cosines."""
 
@@ -288,7 +392,7 @@ def _rerank(dim: int, floor: float | None):
             col = batch.column("embedding")
             x = np.asarray(col.flatten(), np.float32).reshape(-1, dim).astype(np.float64)
             q = np.concatenate([_unpack(b, dim) for b in batch.column("q_vec").to_pylist()]).astype(np.float64)
-            cos = (x * q).sum(1) / np.sqrt((x * x).sum(1) * (q * q).sum(1))
+            cos = _cosines(x, q)
             ok = cos >= floor if floor is not None else np.ones(len(cos), bool)
             yield pa.record_batch([pa.array(np.asarray(batch.column("q_id"))[ok]), pa.array(np.asarray(batch.column("x_id"))[ok]), pa.array(cos[ok])], names=["q_id", "x_id", "cosine"])
 
@@ -353,15 +457,24 @@ def similar(
     routed = src.mapInArrow(_router(shared, dim, base_cells, query_cells, query_every, floor), ROUTED)
     cells = routed.repartition("cell", "blk").sortWithinPartitions("cell", "blk", "kind")
     mutual = query_every == 1 and query_cells == 1
-    cand = cells.mapInArrow(_scorer(shared, dim, base_cells, shortlist, mutual), CANDIDATE)
+    cand = cells.mapInArrow(_scorer(shared, dim, base_cells, shortlist, mutual, floor is not None), CANDIDATE)
     cand = materialize(cand, "candidates")
-    if query_cells > 1:
+    crowded, cand = cand.where("cell is not null"), cand.where("cell is null").drop("cell", "blk")
+    dense = None
+    if floor is not None and crowded.limit(1).count():
+        members = crowded.select("cell", "blk", F.col("q_id").isNull().cast("int").alias("kind"), F.coalesce("q_id", "x_id").alias("x_id"))
+        vecs = members.join(good, "x_id").select("cell", "blk", "kind", "x_id", "embedding")
+        vecs = vecs.repartition("cell", "blk").sortWithinPartitions("cell", "blk", "kind")
+        dense = materialize(vecs.mapInArrow(_exhaust(dim, k, floor), "q_id long, x_id long, cosine double"), "dense")
+    if query_cells > 1 and floor is None:
         w = Window.partitionBy("q_id").orderBy(F.desc("score"), "x_id")
         cand = materialize(cand.withColumn("place", F.row_number().over(w)).where(F.col("place") <= 2 * shortlist).drop("place"), "shortlist")
     wanted = cand.select("x_id").distinct()
     n = wanted.count()
     look = good.join(F.broadcast(wanted), "x_id", "left_semi") if n <= BROADCAST_ROWS else good
     pairs = look.join(cand.drop("score"), "x_id").mapInArrow(_rerank(dim, floor), "q_id long, x_id long, cosine double")
+    if dense is not None:
+        pairs = pairs.unionByName(dense)
     if mutual:
         pairs = materialize(pairs, "pairs")
         pairs = pairs.unionByName(pairs.select(F.col("x_id").alias("q_id"), F.col("q_id").alias("x_id"), "cosine"))

@@ -122,6 +122,44 @@ def test_similar_pairs_find_all(spark):
     assert len(got - truth) <= 0.01 * len(truth)
 
 
+def _true_pairs(x):
+    u = x.astype(np.float64) / np.linalg.norm(x, axis=1, keepdims=True).astype(np.float64)
+    g = u @ u.T
+    np.fill_diagonal(g, -1)
+    return {(min(i, j), max(i, j)) for i in range(len(u)) for j in np.argsort(-g[i], kind="stable")[:10].tolist() if g[i, j] >= 0.8}
+
+
+def test_similar_pairs_of_a_dense_group(spark):
+    rng = np.random.default_rng(3)
+    x = _vectors(3000, 384, 3)
+    x[::3] = (rng.normal(size=384) + rng.normal(size=(1000, 384)) * 0.3) * rng.uniform(0.5, 2, (1000, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id long, embedding array<float>").repartition(4)
+    got = {tuple(r) for r in ann.similar_pairs(df, "chunk_id", "embedding").collect()}
+    truth = _true_pairs(x)
+    group = {p for p in truth if p[0] % 3 == 0 and p[1] % 3 == 0}
+    assert len(group) > 5000 and len(got & group) >= 0.98 * len(group)
+    assert len(got & truth) >= 0.98 * len(truth) and len(got - truth) <= 0.02 * len(truth)
+
+
+def test_exact_best_in_blocks():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=8) + rng.normal(size=(400, 8)) * 0.3
+    ids = np.arange(400) // 2  # two vectors of each id
+    x[20:40] = x[0]
+    best = ann._Best(ids[:100], x[:100], 10, 0.8)
+    for i in range(0, 400, 150):
+        best.add(ids[i : i + 150], x[i : i + 150], 64)
+    got = {}
+    for row, near in zip(best.row.tolist(), best.near.tolist()):
+        got.setdefault(row, []).append(near)
+    for row in range(100):
+        cos = {}
+        for j, c in zip(ids.tolist(), ann._cosines(x, x[row : row + 1]).tolist()):
+            if j != ids[row] and c >= 0.8:
+                cos[j] = max(cos.get(j, -1), c)
+        assert got.get(row, []) == sorted(cos, key=lambda j: (-cos[j], j))[:10]
+
+
 def test_knn_recall(spark):
     x = _vectors(4000, 384, 5)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id long, embedding array<float>")
