@@ -202,12 +202,10 @@ def _router(shared, dim: int, base_cells: int, query_cells: int, query_every: in
             asked = np.flatnonzero(ids % query_every == 0)
             qc = near[asked][:, :query_cells]
             rows, cells = np.repeat(asked, qc.shape[1]), qc.ravel()
-            probes = near[:, :base_cells].astype("<i4")
             for cell, pick in _groups(cells, rows):
                 spread = (ids[pick] * np.int64(2654435761) >> 16) % blocks[cell]
                 for b, some in _groups(spread, pick) if blocks[cell] > 1 else [(0, pick)]:
-                    data = ids[some].astype("<i8").tobytes() + probes[some].tobytes()
-                    out.append((cell, b, 1, len(some), data, _pack(raw[some])))
+                    out.append((cell, b, 1, len(some), ids[some].astype("<i8").tobytes(), _pack(raw[some])))
             cols = list(zip(*out))
             yield pa.record_batch(
                 [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.binary())],
@@ -224,19 +222,19 @@ def _groups(keys: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarra
         yield int(k[a]), rows[order[a:b]]
 
 
-CANDIDATE = "x_id long, q_id long, score float, q_vec binary, cell int, blk int"
+CANDIDATE = "x_id long, q_id long, score float, cell int, blk int"
 
 
-def _candidates(x_ids, q_ids, scores=None, vecs=None, at=(None, None)) -> pa.RecordBatch:
+def _candidates(x_ids, q_ids, scores=None, at=(None, None)) -> pa.RecordBatch:
     n = len(x_ids)
     return pa.record_batch(
         [pa.array(x_ids, pa.int64()), pa.array(q_ids, pa.int64()), pa.array([None] * n if scores is None else scores, pa.float32()),
-         pa.array([None] * n if vecs is None else vecs, pa.binary()), pa.array([at[0]] * n, pa.int32()), pa.array([at[1]] * n, pa.int32())],
-        names=["x_id", "q_id", "score", "q_vec", "cell", "blk"],
+         pa.array([at[0]] * n, pa.int32()), pa.array([at[1]] * n, pa.int32())],
+        names=["x_id", "q_id", "score", "cell", "blk"],
     )
 
 
-def _scorer(shared, dim: int, base_cells: int, shortlist: int, mutual: bool, whole: bool):
+def _scorer(shared, dim: int, shortlist: int, whole: bool):
     """Sorted packed rows of cells to candidate pairs, by asymmetric distance tables.
 
     Where more than shortlist codes pass for a query, the best are kept, or if whole, the query and all that passed for
@@ -268,10 +266,8 @@ def _scorer(shared, dim: int, base_cells: int, shortlist: int, mutual: bool, who
                     base = np.concatenate(held)
                     approx = decode(index, base["code"], base["home"])
                     passed = np.zeros(len(base), bool)
-                ids = np.frombuffer(data[: 8 * n], "<i8")
-                probes = np.frombuffer(data[8 * n :], "<i4").reshape(n, -1)
-                raw = _unpack(vecs, dim)
-                q = unit(raw)
+                ids = np.frombuffer(data, "<i8")
+                q = unit(_unpack(vecs, dim))
                 step = max(16, min(256, 4_000_000 // max(1, len(base))))
                 for i in range(0, n, step):
                     some = q[i : i + step]
@@ -290,14 +286,8 @@ def _scorer(shared, dim: int, base_cells: int, shortlist: int, mutual: bool, who
                         first = np.flatnonzero(np.r_[True, np.diff(r) != 0])
                         short = np.arange(len(r)) - np.repeat(first, np.diff(np.r_[first, len(r)])) < shortlist
                         r, c = r[short], c[short]
-                    if mutual and len(r):
-                        # The other side's cell sees this pair too: the smaller id reports it.
-                        both = (probes[i + r] == base["home"][c][:, None]).any(1)
-                        fine = ~both | (ids[i + r] < base["id"][c])
-                        r, c = r[fine], c[fine]
                     if len(r):
-                        packed = {k: _pack(raw[i + k : i + k + 1]) for k in np.unique(r).tolist()}
-                        yield _candidates(base["id"][c], ids[i + r], score[r, c], [packed[k] for k in r.tolist()])
+                        yield _candidates(base["id"][c], ids[i + r], score[r, c])
         yield from crowded()
 
     return run
@@ -383,16 +373,14 @@ def _cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _rerank(dim: int, floor: float | None):
-    """(embedding of x_id, x_id, q_id, q_vec) to exact cosines."""
+    """(x_id, q_id, embeddings x and q) to exact cosines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            col = batch.column("embedding")
-            x = np.asarray(col.flatten(), np.float32).reshape(-1, dim).astype(np.float64)
-            q = np.concatenate([_unpack(b, dim) for b in batch.column("q_vec").to_pylist()]).astype(np.float64)
-            cos = _cosines(x, q)
+            x, q = (np.asarray(batch.column(c).flatten(), np.float32).reshape(-1, dim) for c in ("x", "q"))
+            cos = np.concatenate([_cosines(x[i : i + 1024].astype(np.float64), q[i : i + 1024].astype(np.float64)) for i in range(0, len(x), 1024)])
             ok = cos >= floor if floor is not None else np.ones(len(cos), bool)
             yield pa.record_batch([pa.array(np.asarray(batch.column("q_id"))[ok]), pa.array(np.asarray(batch.column("x_id"))[ok]), pa.array(cos[ok])], names=["q_id", "x_id", "cosine"])
 
@@ -456,8 +444,7 @@ def similar(
     shared = spark.sparkContext.broadcast(fit(sample, rows, subspaces, floor or 0.8))
     routed = src.mapInArrow(_router(shared, dim, base_cells, query_cells, query_every, floor), ROUTED)
     cells = routed.repartition("cell", "blk").sortWithinPartitions("cell", "blk", "kind")
-    mutual = query_every == 1 and query_cells == 1
-    cand = cells.mapInArrow(_scorer(shared, dim, base_cells, shortlist, mutual, floor is not None), CANDIDATE)
+    cand = cells.mapInArrow(_scorer(shared, dim, shortlist, floor is not None), CANDIDATE)
     cand = materialize(cand, "candidates")
     crowded, cand = cand.where("cell is not null"), cand.where("cell is null").drop("cell", "blk")
     dense = None
@@ -469,10 +456,16 @@ def similar(
     if query_cells > 1 and floor is None:
         w = Window.partitionBy("q_id").orderBy(F.desc("score"), "x_id")
         cand = materialize(cand.withColumn("place", F.row_number().over(w)).where(F.col("place") <= 2 * shortlist).drop("place"), "shortlist")
-    wanted = cand.select("x_id").distinct()
+    mutual = query_every == 1
+    cand = cand.select("x_id", "q_id")
+    if mutual:
+        # Either side may have found a pair: it is compared once and counts for both.
+        cand = materialize(cand.select(F.least("x_id", "q_id").alias("x_id"), F.greatest("x_id", "q_id").alias("q_id")).distinct(), "once")
+    wanted = cand.select(F.explode(F.array("x_id", "q_id")).alias("x_id")).distinct()
     n = wanted.count()
     look = good.join(F.broadcast(wanted), "x_id", "left_semi") if n <= BROADCAST_ROWS else good
-    pairs = look.join(cand.drop("score"), "x_id").mapInArrow(_rerank(dim, floor), "q_id long, x_id long, cosine double")
+    both = cand.join(look.select("x_id", F.col("embedding").alias("x")), "x_id").join(look.select(F.col("x_id").alias("q_id"), F.col("embedding").alias("q")), "q_id")
+    pairs = both.select("x_id", "q_id", "x", "q").mapInArrow(_rerank(dim, floor), "q_id long, x_id long, cosine double")
     if dense is not None:
         pairs = pairs.unionByName(dense)
     if mutual:

@@ -141,6 +141,26 @@ def test_similar_pairs_of_a_dense_group(spark):
     assert len(got & truth) >= 0.98 * len(truth) and len(got - truth) <= 0.02 * len(truth)
 
 
+def test_similar_pairs_of_a_hub(spark):
+    rng = np.random.default_rng(6)
+
+    def away(v, c):
+        w = rng.normal(size=384)
+        w -= (w @ v) * v
+        return c * v + np.sqrt(1 - c * c) * w / np.linalg.norm(w)
+
+    hubs = ann.unit(rng.normal(size=(8, 384))).astype(np.float64)
+    near = [away(h, c) for h in hubs for c in [0.95] * 12 + [0.81] * 150]
+    late = [away(h, 0.83) for h in hubs for _ in range(10)]
+    x = np.array([*hubs, *near, *late], np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id long, embedding array<float>").repartition(4)
+    # All 172 others pass for a hub, and fewer than 165 for a late one: only the hub is crowded.
+    got = {(r.id, r.neighbour) for r in ann.similar(df, "chunk_id", "embedding", floor=0.8, shortlist=165).collect()}
+    # A hub's ten best are others, but it is the best of each of its late ones, which have greater ids.
+    true = {(8 + len(near) + i, i // 10) for i in range(len(late))}
+    assert len(got & true) >= 0.95 * len(true)
+
+
 def test_exact_best_in_blocks():
     rng = np.random.default_rng(4)
     x = rng.normal(size=8) + rng.normal(size=(400, 8)) * 0.3
