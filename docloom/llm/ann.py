@@ -37,6 +37,8 @@ CELL_BLOCK = 8_192
 #: Tables of at most so many rows may be broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
 KEEP_COPIES = 11
+#: Of a normal drift, one in 740 lies lower.
+FLOOR_DEVIATIONS = 3.0
 
 
 @dataclass
@@ -71,7 +73,8 @@ def _nearest(x: np.ndarray, c: np.ndarray, step: int = 2048) -> np.ndarray:
 
 def fit(sample: np.ndarray, rows: int, subspaces: int, floor: float, seed: int = 7) -> Index:
     """Train cells and codebooks on unit vectors. slack is how far below its expectation, in units of the code's
-    own deviation, the score of a pair at the floor may lie (the 1e-4 quantile over sampled directions)."""
+    own deviation, the score of a pair at the floor may lie (FLOOR_DEVIATIONS times the drift's deviation over sampled
+    directions)."""
     rng = np.random.default_rng(seed)
     cells = int(min(MAX_CELLS, max(1, 2 ** round(np.log2(max(1, rows / ROWS_PER_CELL))))))
     cent = _kmeans(sample, cells, 8, rng, unit=True)
@@ -94,7 +97,7 @@ def fit(sample: np.ndarray, rows: int, subspaces: int, floor: float, seed: int =
     size = np.linalg.norm(w, axis=1)
     ok = size > 1e-3
     drift = (w[ok] * approx[ok]).sum(1) / size[ok] / np.sqrt(np.maximum(energy - along**2, 1e-9))[ok]
-    index.slack = float(np.sqrt((drift**2).mean())) if ok.any() else 0.1
+    index.slack = float(FLOOR_DEVIATIONS * np.sqrt((drift**2).mean())) if ok.any() else 0.1 * FLOOR_DEVIATIONS
     return index
 
 

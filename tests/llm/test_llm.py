@@ -161,6 +161,19 @@ def test_similar_pairs_of_a_hub(spark):
     assert len(got & true) >= 0.95 * len(true)
 
 
+def test_pairs_at_the_floor_pass_the_codes():
+    rng = np.random.default_rng(9)
+    x = ann.unit(_vectors(4000, 384, 9))
+    index = ann.fit(x, len(x), 32, 0.8)
+    code, approx = ann.encode(index, x, ann._nearest(x, index.centroids))
+    along, energy = (x * approx).sum(1), (approx * approx).sum(1)
+    w = x[rng.permutation(len(x))]
+    w = w - (w * x).sum(1, keepdims=True) * x
+    q = 0.8 * x + 0.6 * w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-6)
+    tau = 0.8 * along - index.slack * 0.6 * np.sqrt(np.maximum(energy - along**2, 0))
+    assert ((q * approx).sum(1) < tau).mean() < 0.002
+
+
 def test_exact_best_in_blocks():
     rng = np.random.default_rng(4)
     x = rng.normal(size=8) + rng.normal(size=(400, 8)) * 0.3
