@@ -139,10 +139,11 @@ def _links(records: DataFrame, id_col: str, text_col: str, size: int, similarity
     """Fingerprints of all records, and the links between classes: (a, b, jaccard) of representatives."""
     ship_package(records.sparkSession)
     rows = records.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+    rows = rows.groupBy("id").agg(F.min("text").alias("text"))
     hashed = rows.select("id", word_hashes(F.col("text")).alias("words"))
     prints = hashed.mapInArrow(_fingerprints(size, least, blocks, symbols), FINGERPRINT)
     prints = materialize(prints, "fingerprints")
-    cls = prints.groupBy("id").agg(F.min(F.struct("c1", "c2")).alias("c")).select("id", "c.c1", "c.c2")
+    cls = prints.select("id", "c1", "c2")
     reps = prints.groupBy("c1", "c2").agg(F.min(F.struct("id", "n", "s1", "s2", "anchors")).alias("r")).select("r.*")
     spread = reps.select("id", "n", "s1", "s2", F.explode("anchors").alias("anchor"))
     expected = SKETCH_BITS * (1 + similarity) / 2
@@ -154,7 +155,7 @@ def _links(records: DataFrame, id_col: str, text_col: str, size: int, similarity
     pairs = materialize(near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "near")
     ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
     look = rows.join(F.broadcast(ends), "id", "left_semi") if ends.count() <= BROADCAST_ROWS else rows.join(ends, "id", "left_semi")
-    sets = look.groupBy("id").agg(F.min("text").alias("text")).select("id", word_hashes(F.col("text")).alias("words"))
+    sets = look.select("id", word_hashes(F.col("text")).alias("words"))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
     both = both.select("a", "b", "wa", "wb").mapInArrow(_jaccard(size), "a long, b long, jaccard double")
     return cls, reps.select(F.col("id").alias("rep")), both.where(F.col("jaccard") >= similarity - 1e-12)

@@ -238,6 +238,19 @@ def test_near_duplicates_against_brute_force(spark):
     assert neardup.near_duplicate_pairs(df.limit(0), "id", "content", 2, 0.6).count() == 0
 
 
+def test_least_text_of_an_id_counts(spark):
+    rnd = random.Random(5)
+    text = lambda n: [f"w{rnd.randrange(3000)}" for _ in range(n)]
+    rows, truth = [], set()
+    for g in range(20):
+        least, other = ["a", *text(119)], ["b", *text(119)]
+        like = [*other[:-2], "x", "y"]
+        rows += [(10 * g, " ".join(least)), (10 * g, " ".join(other)), (10 * g + 1, " ".join(other)), (10 * g + 2, " ".join(other)), (10 * g + 3, " ".join(like)), (10 * g + 4, " ".join(least))]
+        truth |= {(10 * g + 1, 10 * g + 2), (10 * g + 1, 10 * g + 3), (10 * g + 2, 10 * g + 3), (10 * g, 10 * g + 4)}
+    df = spark.createDataFrame(rows, "id long, content string")
+    assert {tuple(r) for r in neardup.near_duplicate_pairs(df, "id", "content", 2, 0.6, 80).collect()} == truth
+
+
 def test_shared_anchor_within_the_threshold():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 32, (200, 4), dtype=np.uint64).astype(np.uint32)
