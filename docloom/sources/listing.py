@@ -75,7 +75,7 @@ def list_tree(spark: SparkSession, roots: list[str], spread: int = 64) -> DataFr
 
 
 def read_contents(listing: DataFrame, most: int = 104_857_600) -> DataFrame:
-    """(path, content) of listed files; unreadable files have null content."""
+    """(path, content) of listed files; unreadable files, and those of more than `most` bytes, have null content."""
     ship_package(listing.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +83,8 @@ def read_contents(listing: DataFrame, most: int = 104_857_600) -> DataFrame:
             for path in b.column(0).to_pylist():
                 try:
                     with open(path, "rb") as f:
-                        data = f.read(most)
+                        data = f.read(most + 1)
+                    data = data if len(data) <= most else None
                 except OSError:
                     data = None
                 yield pa.record_batch([pa.array([path], pa.string()), pa.array([data], pa.binary())], names=["path", "content"])

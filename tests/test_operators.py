@@ -183,6 +183,13 @@ def test_listing_keeps_hidden_and_prunes(spark, tmp_path):
     assert {len(r.content) for r in listing.read_contents(got).collect()} == {60}
 
 
+def test_no_prefix_of_a_large_file(spark, tmp_path):
+    for n in (9, 10, 11):
+        (tmp_path / f"{n}.txt").write_text("x" * n)
+    got = listing.read_contents(listing.list_tree(spark, [str(tmp_path)]), most=10).collect()
+    assert {r.path.rsplit("/", 1)[1]: r.content and len(r.content) for r in got} == {"9.txt": 9, "10.txt": 10, "11.txt": None}
+
+
 def test_snapshots(spark):
     s = Snapshots(spark, work_path(spark, "test-snapshots"))
     s.commit(a=spark.range(3), b=spark.range(2))
