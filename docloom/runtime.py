@@ -6,11 +6,14 @@ import io
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_SCOPES: list[list[DataFrame]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +46,42 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    place = _place(spark, path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._docloom_path = path
+    if _SCOPES:
+        _SCOPES[-1].append(back)
+    return back
+
+
+def _place(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store, if it is there."""
+    place = _place(spark, path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release(df: DataFrame) -> None:
+    """Delete what materialize() wrote for df. Call it when everything made from df has itself been written."""
+    if path := getattr(df, "_docloom_path", None):
+        remove(df.sparkSession, path)
+        df._docloom_path = None
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete, at the end, what materialize() wrote inside; for jobs that write their results themselves. Without it,
+    intermediate folders go when the session's JVM ends."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for df in _SCOPES.pop():
+            release(df)
 
 
 def ship_package(spark: SparkSession) -> None:
