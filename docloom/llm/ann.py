@@ -1,17 +1,23 @@
 """Most similar vectors for every vector: inverted file with product-quantised residuals.
 
-Coarse centroids split the vectors into cells. A vector is kept in its nearest cells as the code of its
-residual (one byte for each group of dimensions); a query walks the cells it probes and scores all their codes
-by asymmetric distance (exact query against coded vectors, see asymmetric()). The shortlist is re-ranked with exact
-cosines. With a floor, no shortlist is cut: where more codes pass than it holds, the query is compared exactly with
-all vectors that passed in its cell, in blocks.
+Coarse centroids split the vectors into cells; beyond MAX_COARSE of them, a second set of centroids for the residuals,
+shared by all coarse cells, splits each further, so that cells stay small while the trained part stays bounded. A
+vector is kept in its nearest cells as the code of its residual (one byte for each group of dimensions); a query walks
+the cells it probes and sums, for each code there, the entries of its distance tables that the code names
+(Tables). What passes is re-ranked with exact cosines.
+
+Which scores pass: the k-th best cosine of a query among sampled rows of its own coarse cell is a lower bound of its
+k-th best among all rows, as is the floor. A code must reach the score that a vector at that cosine is expected to
+have, less FLOOR_DEVIATIONS deviations; the exact cosine decides. With a floor, no shortlist is cut: where more codes
+pass than it holds, the query is compared exactly with all vectors that passed in its cell, in blocks. shortlist=0 cuts
+nothing and lets everything in the probed cells through: with all cells probed that is exact search.
 
 Defined results
 * Usable is a vector that is not null, has ``dim`` finite values and is not all zero; all others are left out.
 * Rows of one id with equal vectors count once. If an id has several different vectors, each is searched, and the
   best cosine counts.
 * Ties go to the smaller id.
-* Copies (equal vectors) beyond the first eleven of a class never enter the index: their nearest are the class's
+* Copies (equal vectors) beyond the first k + 1 of a class never enter the index: their nearest are the class's
   first ids, which is exact.
 * An empty table gives an empty result.
 """
@@ -19,34 +25,90 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.runtime import materialize, ship_package
+from docloom.runtime import materialize, release, ship_package
 
-#: Bound of the training sample, and of the number of cells.
+#: Bound of the training sample (of 384 floats: 50 MB), and of the centroids of each level: with two levels, cells keep
+#: their size up to MAX_COARSE * MAX_FINE * ROWS_PER_CELL (about 10^9) rows.
 SAMPLE_ROWS = 32_768
-MAX_CELLS = 2_048
+MAX_COARSE = MAX_FINE = 2_048
 ROWS_PER_CELL = 256
-#: Queries of one cell that a task takes at a time; cells expected to hold more are divided.
-CELL_BLOCK = 8_192
+#: Queries, and codes, of one cell that a task takes at a time; cells expected to hold more are divided.
+CELL_BLOCK, CODE_BLOCK = 8_192, 131_072
+#: Sampled rows of a cell from which its share of all rows is judged.
+LEAST_SHARE = 8
 #: Tables of at most so many rows may be broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
-KEEP_COPIES = 11
 #: Of a normal drift, one in 740 lies lower.
 FLOOR_DEVIATIONS = 3.0
 
 
 @dataclass
 class Index:
-    centroids: np.ndarray
+    """Coarse and fine centroids (cell = coarse * number of fine + fine), codebooks, and what a query may assume."""
+
+    coarse: np.ndarray
+    fine: np.ndarray
     codebooks: np.ndarray
-    slack: float
-    blocks: np.ndarray
+    slack: float = 0.0
+    #: Of each cell, the parts into which its queries and its codes are cut.
+    query_parts: np.ndarray = field(default_factory=lambda: np.ones(1, np.int32))
+    code_parts: np.ndarray = field(default_factory=lambda: np.ones(1, np.int32))
+    #: Sampled rows in the order of their coarse cells, which begin at starts.
+    known_ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    known: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float16))
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+
+    @property
+    def cells(self) -> int:
+        return len(self.coarse) * len(self.fine)
+
+    def centroid(self, cells: np.ndarray) -> np.ndarray:
+        return self.coarse[cells // len(self.fine)] + self.fine[cells % len(self.fine)]
+
+    @cached_property
+    def half_norms(self) -> np.ndarray:
+        """Half the squared length of each cell's centroid, by coarse and fine cell."""
+        return ((self.coarse * self.coarse).sum(1)[:, None] + (self.fine * self.fine).sum(1) + 2 * self.coarse @ self.fine.T) / 2
+
+    def nearest(self, x: np.ndarray, many: int) -> np.ndarray:
+        """The nearest cells of each vector, the nearest first. Fine cells are looked at in the nearest coarse ones."""
+        many, width, size = min(many, self.cells), len(self.fine), self.half_norms
+        most = min(many, len(self.coarse))
+        out = np.empty((len(x), many), np.int32)
+        step = max(16, min(2048, 4_000_000 // (most * width)))
+        for i in range(0, len(x), step):
+            part = x[i : i + step]
+            s = part @ self.coarse.T
+            if width == 1:
+                s, cells = s - size[:, 0], None
+            else:
+                top = np.argpartition(-s, most - 1, axis=1)[:, :most]
+                s = np.take_along_axis(s, top, 1)[:, :, None] + (part @ self.fine.T)[:, None, :] - size[top]
+                cells = (top[:, :, None] * width + np.arange(width)).reshape(len(part), -1)
+                s = s.reshape(len(part), -1)
+            best = np.argpartition(-s, many - 1, axis=1)[:, :many]
+            best = np.take_along_axis(best, np.argsort(-np.take_along_axis(s, best, 1), axis=1, kind="stable"), 1)
+            out[i : i + step] = best if cells is None else np.take_along_axis(cells, best, 1)
+        return out
+
+    def bounds(self, ids: np.ndarray, x: np.ndarray, home: np.ndarray, k: int) -> np.ndarray:
+        """For each vector the k-th best cosine among the sampled rows of its coarse cell, -1 if there are too few."""
+        out = np.full(len(x), -1.0, np.float32)
+        for cell, rows in _groups(home // len(self.fine), np.arange(len(x))):
+            a, b = self.starts[cell], self.starts[cell + 1]
+            if b - a > k:
+                s = x[rows] @ self.known[a:b].astype(np.float32).T
+                s[ids[rows, None] == self.known_ids[a:b]] = -1
+                out[rows] = np.partition(s, b - a - k, axis=1)[:, b - a - k] - 1e-3
+        return out
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, unit: bool) -> np.ndarray:
@@ -71,32 +133,42 @@ def _nearest(x: np.ndarray, c: np.ndarray, step: int = 2048) -> np.ndarray:
     return np.concatenate([np.argmax(x[i : i + step] @ c.T - half, axis=1) for i in range(0, len(x), step)]) if len(x) else np.zeros(0, int)
 
 
-def fit(sample: np.ndarray, rows: int, subspaces: int, floor: float, seed: int = 7) -> Index:
+def fit(sample: np.ndarray, rows: int, subspaces: int, seed: int = 7, ids: np.ndarray | None = None, base_cells: int = 1) -> Index:
     """Train cells and codebooks on unit vectors. slack is how far below its expectation, in units of the code's
-    own deviation, the score of a pair at the floor may lie (FLOOR_DEVIATIONS times the drift's deviation over sampled
-    directions)."""
+    own deviation, a score may lie (FLOOR_DEVIATIONS times the drift's deviation over sampled directions)."""
     rng = np.random.default_rng(seed)
-    cells = int(min(MAX_CELLS, max(1, 2 ** round(np.log2(max(1, rows / ROWS_PER_CELL))))))
-    cent = _kmeans(sample, cells, 8, rng, unit=True)
-    home = _nearest(sample, cent)
-    res = sample - cent[home]
+    wanted = max(1.0, rows / ROWS_PER_CELL)
+    coarse = _kmeans(sample, int(min(MAX_COARSE, 2 ** round(np.log2(wanted)))), 8, rng, unit=True)
+    width = int(min(MAX_FINE, max(1, round(wanted / MAX_COARSE))))
+    fine = np.zeros((1, sample.shape[1]), np.float32)
+    if width > 1:
+        fine = _kmeans(sample - coarse[_nearest(sample, coarse)], width, 8, rng, unit=False)
     sub = sample.shape[1] // subspaces
+    index = Index(coarse, fine, np.zeros((subspaces, 256, sub), np.float32))
+    home = index.nearest(sample, 1)[:, 0]
+    res = sample - index.centroid(home)
     part = res[rng.permutation(len(res))[:12_288]]
-    books = np.zeros((subspaces, 256, sub), np.float32)
     for m in range(subspaces):
         b = _kmeans(np.ascontiguousarray(part[:, m * sub : (m + 1) * sub]), 256, 6, rng, unit=False)
-        books[m, : len(b)] = b
-        books[m, len(b) :] = b[0]
-    share = np.bincount(home, minlength=len(cent)) / max(1, len(sample))
-    index = Index(cent, books, 0.0, np.maximum(1, np.ceil(share * rows / CELL_BLOCK)).astype(np.int32))
+        index.codebooks[m, : len(b)] = b
+        index.codebooks[m, len(b) :] = b[0]
+    held = np.bincount(home, minlength=index.cells)
+    share = np.where(held >= LEAST_SHARE, held, 0) / max(1, len(sample))
+    index.query_parts = np.maximum(1, np.ceil(share * rows / CELL_BLOCK)).astype(np.int32)
+    index.code_parts = np.maximum(1, np.ceil(share * rows * base_cells / CODE_BLOCK)).astype(np.int32)
+    first = np.unique(ids, return_index=True)[1] if ids is not None else np.arange(len(sample))
+    order = first[np.argsort(home[first], kind="stable")]
+    index.known_ids = (ids if ids is not None else np.arange(len(sample)))[order].astype(np.int64)
+    index.known = sample[order].astype(np.float16)
+    index.starts = np.searchsorted(home[order] // len(fine), np.arange(len(coarse) + 1))
     probe = sample[:2048]
-    code, approx = encode(index, probe, _nearest(probe, cent))
-    along, energy = (probe * approx).sum(1), (approx * approx).sum(1)
+    _, approx = encode(index, probe, home[:2048])
+    along, spread = _along(probe, approx)
     w = probe[rng.permutation(len(probe))]
     w = w - (w * probe).sum(1, keepdims=True) * probe
     size = np.linalg.norm(w, axis=1)
-    ok = size > 1e-3
-    drift = (w[ok] * approx[ok]).sum(1) / size[ok] / np.sqrt(np.maximum(energy - along**2, 1e-9))[ok]
+    ok = (size > 1e-3) & (spread > 1e-4)
+    drift = (w[ok] * approx[ok]).sum(1) / size[ok] / spread[ok]
     index.slack = float(FLOOR_DEVIATIONS * np.sqrt((drift**2).mean())) if ok.any() else 0.1 * FLOOR_DEVIATIONS
     return index
 
@@ -104,29 +176,48 @@ def fit(sample: np.ndarray, rows: int, subspaces: int, floor: float, seed: int =
 def encode(index: Index, x: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the residuals, and the vectors they stand for."""
     m, _, sub = index.codebooks.shape
-    res = x - index.centroids[home]
+    approx = index.centroid(home)
+    res = x - approx
     code = np.empty((len(x), m), np.uint8)
-    approx = index.centroids[home].copy()
     for j in range(m):
         code[:, j] = _nearest(np.ascontiguousarray(res[:, j * sub : (j + 1) * sub]), index.codebooks[j])
         approx[:, j * sub : (j + 1) * sub] += index.codebooks[j][code[:, j]]
     return code, approx
 
 
-def decode(index: Index, code: np.ndarray, home: np.ndarray) -> np.ndarray:
-    """The vectors that codes stand for."""
-    m, _, sub = index.codebooks.shape
-    approx = index.centroids[home]
-    for j in range(m):
-        approx[:, j * sub : (j + 1) * sub] += index.codebooks[j][code[:, j]]
-    return approx
-
-
-def asymmetric(q: np.ndarray, approx: np.ndarray) -> np.ndarray:
-    """Scores of exact queries against coded vectors. A query's distance table holds its product with each centroid
-    and each codeword; a score is the sum of the entries that a code names. Summed for many queries at once, that is
-    one matrix product with the decoded codes, which keeps the processor busier than look-ups do."""
-    return q @ approx.T
+def _along(x: np.ndarray, approx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each coded vector, its component along the vector, and the size of the rest."""
+    along = (x * approx).sum(1)
+    return along, np.sqrt(np.maximum((approx * approx).sum(1) - along**2, 0))
+
+
+class Tables:
+    """Asymmetric distance tables of some queries: of each, the products with all codewords, as 8-bit steps above the
+    least of their group, and the products with the centroids of the cells that codes refer to. A score is the sum of
+    the entries that a code names; it is off by few steps."""
+
+    def __init__(self, index: Index, q: np.ndarray):
+        m, _, sub = index.codebooks.shape
+        t = np.matmul(index.codebooks, q.reshape(len(q), m, sub).transpose(1, 2, 0))
+        low = t.min(1, keepdims=True)
+        t -= low
+        self.step = np.maximum(t.max((0, 1)), 1e-9) / 255
+        self.low = low.sum((0, 1))
+        self.entries = np.rint(t / self.step).astype(np.uint8).astype(np.uint16)
+        self.error = 3 * self.step * np.sqrt(m / 12)
+        self.index, self.q = index, q
+
+    def scores(self, code: np.ndarray, home: np.ndarray) -> np.ndarray:
+        """(codes, queries): the scores of codes by columns (subspaces, codes)."""
+        total = np.zeros((code.shape[1], len(self.q)), np.uint16)
+        named = np.empty_like(total)
+        for entries, column in zip(self.entries, code):
+            np.add(total, np.take(entries, column, axis=0, out=named, mode="clip"), out=total)
+        cells, which = np.unique(home, return_inverse=True)
+        out = total.astype(np.float32)
+        out *= self.step
+        out += (self.index.centroid(cells) @ self.q.T + self.low)[which]
+        return out
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -170,54 +261,59 @@ def unit(x: np.ndarray) -> np.ndarray:
 ROUTED = "cell int, blk int, kind int, n int, data binary, vecs binary"
 
 
-def _router(shared, dim: int, base_cells: int, query_cells: int, query_every: int, floor: float | None):
-    """Batches of (id, embedding) to packed rows by cell: kind 0 holds codes, kind 1 queries."""
+def _record(m: int) -> np.dtype:
+    return np.dtype([("id", "<i8"), ("home", "<i4"), ("along", "<f2"), ("spread", "<f2"), ("code", "u1", m)])
+
+
+_ASKED = np.dtype([("id", "<i8"), ("least", "<f4")])
+
+
+def _router(shared, dim: int, base_cells: int, query_cells: int, query_every: int, floor: float | None, k: int, bounded: bool):
+    """Batches of (id, embedding) to packed rows by cell: kind 0 holds codes, kind 1 queries with the cosine they ask for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
-        blocks = index.blocks
         for batch in batches:
             ids, raw = vectors_of(batch, dim)
             if not len(ids):
                 continue
             x = unit(raw)
-            many = max(base_cells, query_cells)
-            near = np.empty((len(x), min(many, len(index.centroids))), np.int32)
-            for i in range(0, len(x), 2048):
-                s = x[i : i + 2048] @ index.centroids.T
-                top = np.argpartition(-s, near.shape[1] - 1, axis=1)[:, : near.shape[1]]
-                near[i : i + 2048] = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
+            near = index.nearest(x, base_cells)
             home = near[:, 0]
             code, approx = encode(index, x, home)
-            along, energy = (x * approx).sum(1), (approx * approx).sum(1)
-            tau = np.full(len(x), -np.inf, np.float32)
-            if floor is not None:
-                tau = (floor * along - index.slack * np.sqrt(1 - floor**2) * np.sqrt(np.maximum(energy - along**2, 0))).astype(np.float32)
             out: list[tuple] = []
-            record = np.dtype([("id", "<i8"), ("home", "<i4"), ("tau", "<f4"), ("code", "u1", code.shape[1])])
-            base = np.zeros(len(x), record)
-            base["id"], base["home"], base["tau"], base["code"] = ids, home, tau, code
-            bc = near[:, :base_cells]
-            rows, cells = np.repeat(np.arange(len(x)), bc.shape[1]), bc.ravel()
-            for cell, pick in _groups(cells, rows):
-                data = base[pick].tobytes()
-                out += [(cell, b, 0, len(pick), data, None) for b in range(blocks[cell])]
+            base = np.zeros(len(x), _record(code.shape[1]))
+            base["id"], base["home"], base["code"] = ids, home, code
+            base["along"], base["spread"] = _along(x, approx)
+            for cell, pick in _groups(near.ravel(), np.repeat(np.arange(len(x)), near.shape[1])):
+                for part, some in _parted(ids, pick, index.code_parts[cell]):
+                    data = base[some].tobytes()
+                    out += [(cell, part * index.query_parts[cell] + b, 0, len(some), data, None) for b in range(index.query_parts[cell])]
             asked = np.flatnonzero(ids % query_every == 0)
-            qc = near[asked][:, :query_cells]
-            rows, cells = np.repeat(asked, qc.shape[1]), qc.ravel()
-            for cell, pick in _groups(cells, rows):
-                spread = (ids[pick] * np.int64(2654435761) >> 16) % blocks[cell]
-                for b, some in _groups(spread, pick) if blocks[cell] > 1 else [(0, pick)]:
-                    out.append((cell, b, 1, len(some), ids[some].astype("<i8").tobytes(), _pack(raw[some])))
+            least = np.full(len(x), -1.0 if floor is None else floor, np.float32)
+            if bounded:
+                least[asked] = np.maximum(least[asked], index.bounds(ids[asked], x[asked], home[asked], k))
+            cells = near[asked][:, :query_cells] if query_cells <= base_cells else index.nearest(x[asked], query_cells)
+            for cell, pick in _groups(cells.ravel(), np.repeat(asked, cells.shape[1])):
+                for b, some in _parted(ids, pick, index.query_parts[cell]):
+                    who = np.zeros(len(some), _ASKED)
+                    who["id"], who["least"] = ids[some], least[some]
+                    data, vecs = who.tobytes(), _pack(raw[some])
+                    out += [(cell, part * index.query_parts[cell] + b, 1, len(some), data, vecs) for part in range(index.code_parts[cell])]
             cols = list(zip(*out))
-            yield pa.record_batch(
-                [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.binary())],
-                names=["cell", "blk", "kind", "n", "data", "vecs"],
-            )
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names=["cell", "blk", "kind", "n", "data", "vecs"])
 
     return run
 
 
+def _parted(ids: np.ndarray, rows: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows cut into parts by their ids."""
+    if parts == 1:
+        return iter([(0, rows)])
+    return _groups((ids[rows] * np.int64(2654435761) >> 16) % parts, rows)
+
+
 def _groups(keys: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(keys, kind="stable")
     k = keys[order]
@@ -241,12 +337,13 @@ def _scorer(shared, dim: int, shortlist: int, whole: bool):
     """Sorted packed rows of cells to candidate pairs, by asymmetric distance tables.
 
     Where more than shortlist codes pass for a query, the best are kept, or if whole, the query and all that passed for
-    it come out as members of the cell's block (rows of only q_id or only x_id), to be compared exactly."""
+    it come out as members of the cell's block (rows of only q_id or only x_id), to be compared exactly. shortlist=0
+    keeps all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
-        m = index.codebooks.shape[0]
-        record = np.dtype([("id", "<i8"), ("home", "<i4"), ("tau", "<f4"), ("code", "u1", m)])
+        record = _record(index.codebooks.shape[0])
+        most = shortlist or 1 << 62
         at, held, base, asking, passed = None, [], None, [], None
 
         def crowded() -> Iterator[pa.RecordBatch]:
@@ -266,31 +363,43 @@ def _scorer(shared, dim: int, shortlist: int, whole: bool):
                 if base is None:
                     if not held:
                         continue
-                    base = np.concatenate(held)
-                    approx = decode(index, base["code"], base["home"])
+                    base, held = np.concatenate(held), []
+                    columns = np.ascontiguousarray(base["code"].T)
+                    along, spread = base["along"].astype(np.float32), base["spread"].astype(np.float32)
                     passed = np.zeros(len(base), bool)
-                ids = np.frombuffer(data, "<i8")
-                q = unit(_unpack(vecs, dim))
-                step = max(16, min(256, 4_000_000 // max(1, len(base))))
-                for i in range(0, n, step):
-                    some = q[i : i + step]
-                    score = asymmetric(some, approx)
-                    r, c = np.divmod(np.flatnonzero(score >= base["tau"]), len(base))
-                    other = ids[i + r] != base["id"][c]
-                    r, c = r[other], c[other]
-                    many = np.bincount(r, minlength=len(some)) > shortlist
+                who, vectors = np.frombuffer(data, _ASKED), unit(_unpack(vecs, dim))
+                for i in range(0, n, 256):
+                    tables, least = Tables(index, vectors[i : i + 256]), who["least"][i : i + 256]
+                    drift = index.slack * np.sqrt(np.maximum(1 - least**2, 0))
+                    rows, cols, reached = [], [], []
+                    for a in range(0, len(base), 2048):
+                        part = slice(a, a + 2048)
+                        score = tables.scores(columns[:, part], base["home"][part])
+                        ok = np.ones(score.shape, bool)
+                        if (least > -1).any():
+                            ok = score >= along[part, None] * least - spread[part, None] * drift - tables.error
+                        c, r = np.nonzero(ok)
+                        rows.append(r)
+                        cols.append(a + c)
+                        reached.append(score[c, r])
+                    r, c, score = np.concatenate(rows), np.concatenate(cols), np.concatenate(reached)
+                    ids = who["id"][i : i + 256]
+                    other = ids[r] != base["id"][c]
+                    r, c, score = r[other], c[other], score[other]
+                    many = np.bincount(r, minlength=len(ids)) > most
                     if whole and many.any():
-                        asking.append(ids[i : i + step][many])
+                        asking.append(ids[many])
                         passed[c[many[r]]] = True
-                        r, c = r[~many[r]], c[~many[r]]
+                        few = ~many[r]
+                        r, c, score = r[few], c[few], score[few]
                     elif many.any():
-                        order = np.lexsort((-score[r, c], r))
-                        r, c = r[order], c[order]
+                        order = np.lexsort((base["id"][c], -score, r))
+                        r, c, score = r[order], c[order], score[order]
                         first = np.flatnonzero(np.r_[True, np.diff(r) != 0])
-                        short = np.arange(len(r)) - np.repeat(first, np.diff(np.r_[first, len(r)])) < shortlist
-                        r, c = r[short], c[short]
+                        short = np.arange(len(r)) - np.repeat(first, np.diff(np.r_[first, len(r)])) < most
+                        r, c, score = r[short], c[short], score[short]
                     if len(r):
-                        yield _candidates(base["id"][c], ids[i + r], score[r, c])
+                        yield _candidates(base["id"][c], ids[r], score)
         yield from crowded()
 
     return run
@@ -407,28 +516,32 @@ def similar(
     query_cells: int = 1,
     query_every: int = 1,
     shortlist: int = 96,
-    subspaces: int = 32,
+    subspaces: int = 48,
 ) -> DataFrame:
     """The k most similar other vectors of each query vector: (id, neighbour, cosine, rank).
 
     Queries are the ids divisible by query_every. floor leaves out neighbours of a smaller cosine. base_cells is the
-    number of cells that keep a vector's code, query_cells the number a query probes.
+    number of cells that keep a vector's code, query_cells the number a query probes; shortlist is the number of codes
+    of a cell, and twice that of all cells, that are re-ranked for a query (0: all).
     """
+    if dim % subspaces:
+        raise ValueError("dim must be a multiple of subspaces")
     spark = vectors.sparkSession
     ship_package(spark)
+    keep = k + 1
     src = vectors.select(F.col(id_col).cast("long").alias("x_id"), F.col(emb_col).cast("array<float>").alias("embedding"))
     src = src.where(F.col("x_id").isNotNull() & (F.size("embedding") == dim))
     good = src.where(usable(F.col("embedding"), dim))
     marks = good.select("x_id", F.xxhash64("embedding").alias("h1"), F.hash("embedding").alias("h2"))
     marks = materialize(marks, "marks").distinct()
-    crowd = marks.groupBy("h1", "h2").count().where(F.col("count") > KEEP_COPIES).select("h1", "h2")
+    crowd = marks.groupBy("h1", "h2").count().where(F.col("count") > keep).select("h1", "h2")
     crowd = materialize(crowd, "crowd")
     crowds, rows = crowd.count(), marks.count()
     by_class = Window.partitionBy("h1", "h2").orderBy("x_id")
     copies = None
     if crowds:
         small = (lambda d: F.broadcast(d)) if crowds <= BROADCAST_ROWS else (lambda d: d)
-        first = marks.join(small(crowd), ["h1", "h2"], "left_semi").withColumn("place", F.row_number().over(by_class)).where(F.col("place") <= KEEP_COPIES)
+        first = marks.join(small(crowd), ["h1", "h2"], "left_semi").withColumn("place", F.row_number().over(by_class)).where(F.col("place") <= keep)
         first = materialize(first, "first")
         heads = first.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("x_id")).alias("heads"))
         members = marks.join(small(heads), ["h1", "h2"])
@@ -438,32 +551,38 @@ def similar(
         src = src.withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.hash("embedding"))
         src = src.join(small(cut), ["h1", "h2"], "left").where(F.col("cut").isNull() | (F.col("x_id") <= F.col("cut"))).select("x_id", "embedding")
         good = src.where(usable(F.col("embedding"), dim))
-    share = min(1.0, SAMPLE_ROWS / max(1, rows))
     want = int(min(SAMPLE_ROWS, max(4096, 32 * rows / ROWS_PER_CELL)))
-    share = min(1.0, want / max(1, rows))
-    picked = good.where(F.pmod(F.xxhash64(F.col("x_id"), F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(want)
-    got = picked.select("embedding").toArrow().column("embedding").combine_chunks()
-    sample = unit(np.asarray(got.flatten(), np.float32).reshape(-1, dim)) if len(got) else np.eye(1, dim, dtype=np.float32)
-    shared = spark.sparkContext.broadcast(fit(sample, rows, subspaces, floor or 0.8))
-    routed = src.mapInArrow(_router(shared, dim, base_cells, query_cells, query_every, floor), ROUTED)
+    # The rows of the least hashes: the same sample, so the same index, whatever the partitions are.
+    draw = F.pmod(F.xxhash64(F.col("x_id"), F.lit(11)), F.lit(1 << 40))
+    share = min(1.0, 1.2 * want / max(1, rows) + 1e-6)
+    picked = good.withColumn("draw", draw).where(F.col("draw") < int(share * (1 << 40))).orderBy("draw", "x_id", F.xxhash64("embedding")).limit(want)
+    got = picked.select("x_id", "embedding").toArrow()
+    sample_ids = np.asarray(got.column("x_id"))
+    sample = unit(np.asarray(got.column("embedding").combine_chunks().flatten(), np.float32).reshape(-1, dim)) if len(got) else np.eye(1, dim, dtype=np.float32)
+    index = fit(sample, rows, subspaces, ids=sample_ids if len(got) else np.zeros(1, np.int64), base_cells=base_cells)
+    shared = spark.sparkContext.broadcast(index)
+    routed = src.mapInArrow(_router(shared, dim, base_cells, query_cells, query_every, floor, k, shortlist > 0), ROUTED)
     cells = routed.repartition("cell", "blk").sortWithinPartitions("cell", "blk", "kind")
-    cand = cells.mapInArrow(_scorer(shared, dim, shortlist, floor is not None), CANDIDATE)
-    cand = materialize(cand, "candidates")
+    whole = floor is not None and shortlist > 0
+    cand = cells.mapInArrow(_scorer(shared, dim, shortlist, whole), CANDIDATE)
+    cand = passed = materialize(cand, "candidates")
     crowded, cand = cand.where("cell is not null"), cand.where("cell is null").drop("cell", "blk")
     dense = None
-    if floor is not None and crowded.limit(1).count():
+    if whole and crowded.limit(1).count():
         members = crowded.select("cell", "blk", F.col("q_id").isNull().cast("int").alias("kind"), F.coalesce("q_id", "x_id").alias("x_id"))
         vecs = members.join(good, "x_id").select("cell", "blk", "kind", "x_id", "embedding")
         vecs = vecs.repartition("cell", "blk").sortWithinPartitions("cell", "blk", "kind")
         dense = materialize(vecs.mapInArrow(_exhaust(dim, k, floor), "q_id long, x_id long, cosine double"), "dense")
-    if query_cells > 1 and floor is None:
+    if query_cells > 1 and shortlist and not whole:
         w = Window.partitionBy("q_id").orderBy(F.desc("score"), "x_id")
-        cand = materialize(cand.withColumn("place", F.row_number().over(w)).where(F.col("place") <= 2 * shortlist).drop("place"), "shortlist")
+        cand = cand.withColumn("place", F.row_number().over(w)).where(F.col("place") <= 2 * shortlist).drop("place")
     mutual = query_every == 1
     cand = cand.select("x_id", "q_id")
     if mutual:
         # Either side may have found a pair: it is compared once and counts for both.
-        cand = materialize(cand.select(F.least("x_id", "q_id").alias("x_id"), F.greatest("x_id", "q_id").alias("q_id")).distinct(), "once")
+        cand = cand.select(F.least("x_id", "q_id").alias("x_id"), F.greatest("x_id", "q_id").alias("q_id"))
+    cand = materialize(cand.distinct(), "once")
+    release(passed)
     wanted = cand.select(F.explode(F.array("x_id", "q_id")).alias("x_id")).distinct()
     n = wanted.count()
     look = good.join(F.broadcast(wanted), "x_id", "left_semi") if n <= BROADCAST_ROWS else good

@@ -164,16 +164,68 @@ def test_similar_pairs_of_a_hub(spark):
 def test_pairs_at_the_floor_pass_the_codes():
     rng = np.random.default_rng(9)
     x = ann.unit(_vectors(4000, 384, 9))
-    index = ann.fit(x, len(x), 32, 0.8)
-    code, approx = ann.encode(index, x, ann._nearest(x, index.centroids))
-    along, energy = (x * approx).sum(1), (approx * approx).sum(1)
+    index = ann.fit(x, len(x), 32)
+    code, approx = ann.encode(index, x, index.nearest(x, 1)[:, 0])
+    along, spread = ann._along(x, approx)
     w = x[rng.permutation(len(x))]
     w = w - (w * x).sum(1, keepdims=True) * x
     q = 0.8 * x + 0.6 * w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-6)
-    tau = 0.8 * along - index.slack * 0.6 * np.sqrt(np.maximum(energy - along**2, 0))
+    tau = 0.8 * along - index.slack * 0.6 * spread
     assert ((q * approx).sum(1) < tau).mean() < 0.002
 
 
+@pytest.mark.parametrize("coarse", [2_048, 8])
+def test_distance_tables_give_the_scores_of_decoded_codes(coarse, monkeypatch):
+    monkeypatch.setattr(ann, "MAX_COARSE", coarse)
+    x = ann.unit(_vectors(6000, 384, 10))
+    index = ann.fit(x, len(x), 48, base_cells=3)
+    assert index.cells >= 16 and (len(index.fine) > 1) == (coarse == 8)
+    home = index.nearest(x, 3)
+    # The nearest cell is the nearest of all composed centroids, for nearly all (fine cells are sought in the nearest coarse ones).
+    every = index.centroid(np.arange(index.cells))
+    best = np.argmax(x @ every.T - (every * every).sum(1) / 2, axis=1)
+    assert (home[:, 0] == best).mean() > 0.99
+    code, approx = ann.encode(index, x, home[:, 0])
+    tables = ann.Tables(index, x[:100])
+    off = tables.scores(np.ascontiguousarray(code.T), home[:, 0]) - approx @ x[:100].T
+    assert (np.abs(off) > tables.error).mean() < 0.01
+    bound = index.bounds(np.arange(len(x)), x, home[:, 0], 10)
+    s = x @ x.T
+    np.fill_diagonal(s, -1)
+    assert (bound > 0).mean() > 0.9 and (bound <= np.partition(s, len(x) - 10, axis=1)[:, len(x) - 10]).all()
+
+
+@pytest.mark.parametrize("k", [10, 20])
+def test_copies_for_any_k(spark, k):
+    rows = [(i, [1.0, 2.0, 0.0, 1.0]) for i in range(30)] + [(90, [0.0, 1.0, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "chunk_id long, embedding array<float>")
+    got = ann.similar(df, "chunk_id", "embedding", dim=4, k=k, subspaces=2, shortlist=0).collect()
+    by = {i: [r.neighbour for r in sorted(got, key=lambda r: r.rank) if r.id == i] for i in [*range(30), 90]}
+    assert all(by[i] == [j for j in range(30) if j != i][:k] for i in range(30)) and by[90] == list(range(k))
+
+
+@pytest.mark.parametrize("cells", [1, 10_000])
+def test_no_shortlist_is_exact(spark, cells):
+    x = _vectors(1500, 48, 8)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id long, embedding array<float>").repartition(4)
+    kind = {"base_cells": 10_000, "query_cells": 1} if cells == 1 else {"base_cells": 1, "query_cells": cells}
+    got = ann.similar(df, "chunk_id", "embedding", dim=48, k=10, shortlist=0, subspaces=8, **kind).collect()
+    u = x.astype(np.float64) / np.linalg.norm(x, axis=1, keepdims=True).astype(np.float64)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    assert len(got) == 15_000
+    assert {(r.id, r.neighbour) for r in got} == {(i, j) for i in range(1500) for j in np.argsort(-s[i], kind="stable")[:10].tolist()}
+
+
+def test_hot_cells_are_divided(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CELL_BLOCK", 100)
+    monkeypatch.setattr(ann, "CODE_BLOCK", 300)
+    x = _vectors(1200, 384, 12)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id long, embedding array<float>").repartition(4)
+    truth = _true_pairs(x)
+    assert len({tuple(r) for r in ann.similar_pairs(df, "chunk_id", "embedding").collect()} & truth) >= 0.98 * len(truth)
+
+
 def test_exact_best_in_blocks():
     rng = np.random.default_rng(4)
     x = rng.normal(size=8) + rng.normal(size=(400, 8)) * 0.3
