@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the characters that a Unicode trim removes.
 SPACE_CLASS = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: The patterns of words torn at the line ends of PDF pages.
+TORN_BY_HYPHEN = r"([a-zA-Z])-\n([a-zA-Z])"
+TORN_BY_LINE = r"([a-zA-Z])\n([a-zA-Z])"
 #: Accented Latin letters and the letters that a case- and accent-blind comparison takes them for.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēėęěğģīįķļłńņňōőŕřśšťūůűųźżž"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeeeggiikllnnnoorrsstuuuuzzz"
@@ -33,8 +36,8 @@ def plain_text(text: Column) -> Column:
 
 def repair_pdf_lines(text: Column) -> Column:
     """Words torn by hyphens or line ends put together, remaining line ends as blanks."""
-    out = F.regexp_replace(text, r"([a-zA-Z])-\n([a-zA-Z])", "$1$2")
-    return F.replace(F.regexp_replace(out, r"([a-zA-Z])\n([a-zA-Z])", "$1$2"), F.lit("\n"), F.lit(" "))
+    out = F.regexp_replace(F.regexp_replace(text, TORN_BY_HYPHEN, "$1$2"), TORN_BY_LINE, "$1$2")
+    return F.replace(out, F.lit("\n"), F.lit(" "))
 
 
 def tokens(text: Column) -> Column:
@@ -61,6 +64,12 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./\\]*)$", 1))
 
 
+def route(name: Column) -> Column:
+    """The reader that a file's extension asks for: plain, pdf, docx or pptx, else `no extension` or `unsupported`."""
+    ext = extension(name)
+    return F.when(ext == "", "no extension").when(ext.isin(".txt", ".md"), "plain").when(ext.isin(".pdf", ".docx", ".pptx"), F.substring(ext, 2, 9)).otherwise("unsupported")
+
+
 def under(path: Column, root: str) -> Column:
     """Whether a path is root or below it; no pattern, so % and _ in names mean themselves."""
     sep = "\\" if "\\" in root else "/"
@@ -70,3 +79,38 @@ def under(path: Column, root: str) -> Column:
 def moved(path: Column, old: str, new: str) -> Column:
     """path with its prefix old replaced."""
     return F.concat(F.lit(new), F.substring(path, len(old) + 1, 1 << 30))
+
+
+def clean_path(path: Column) -> Column:
+    """A path in its shortest spelling: no double or trailing separators, no `.`, and `..` taken back where it can be.
+
+    An empty path is `.`; a path keeps the separator that it uses (both are understood)."""
+    back = path.contains("\\")
+    drive = F.regexp_extract(path, r"^([A-Za-z]:)", 1)
+    rest = F.substring(path, F.length(drive) + 1, F.length(path))
+    rooted = rest.rlike(r"^[/\\]")
+    parts = F.filter(F.split(rest, r"[/\\]+"), lambda p: (p != "") & (p != "."))
+    none = F.array().cast("array<string>")
+
+    def step(kept: Column, part: Column) -> Column:
+        free = (F.size(kept) > 0) & (F.coalesce(F.try_element_at(kept, F.lit(-1)), F.lit("..")) != "..")
+        up = F.when(free, F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).when(rooted, kept).otherwise(F.concat(kept, F.array(part)))
+        return F.when(part == "..", up).otherwise(F.concat(kept, F.array(part)))
+
+    sep = F.when(back, "\\").otherwise("/")
+    body = F.array_join(F.aggregate(parts, none, step), "\x00")
+    out = F.concat(F.when(rooted, sep).otherwise(""), F.replace(body, F.lit("\x00"), sep))
+    return F.concat(drive, F.when(out == "", ".").otherwise(out))
+
+
+def format_bytes(size: Column) -> Column:
+    """A size as it is shown: `0 B`, else one digit after the point and the unit, of B to GB."""
+    k = F.least(F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / F.log(F.lit(1024.0)) + 1e-12), F.lit(3)).cast("int")
+    unit = F.element_at(F.array(*map(F.lit, ["B", "KB", "MB", "GB"])), k + 1)
+    shown = F.format_string("%.1f", size.cast("double") / F.pow(F.lit(1024.0), k))
+    return F.when(size == 0, "0 B").otherwise(F.concat(shown, F.lit(" "), unit))
+
+
+def format_date(seconds: Column) -> Column:
+    """A time in seconds as it is shown; null and 0 as a dash."""
+    return F.when(F.coalesce(seconds, F.lit(0)) == 0, "—").otherwise(F.date_format(F.timestamp_seconds(seconds), "MMM d, yyyy, hh:mm a"))

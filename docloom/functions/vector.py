@@ -39,3 +39,13 @@ def literal(values) -> Column:
 def usable(v: Column, dim: int) -> Column:
     """Not null, of the dimension, finite, not all zero."""
     return v.isNotNull() & (F.size(v) == dim) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
+
+
+def to_json(v: Column) -> Column:
+    """A vector as a JSON list of numbers."""
+    return F.to_json(v)
+
+
+def from_json(text: Column) -> Column:
+    """The vector of a JSON list of numbers; null if it is none."""
+    return F.from_json(text, "array<float>")

@@ -1,9 +1,13 @@
 """Processing only new or changed records.
 
 The state is the set of (key, content hash) that successful runs have taken up, kept as segments in the shared folder
-and named by one manifest. A run hashes the current rows, takes those whose (key, hash) the state doesn't hold, and
-on success adds them as a segment; the manifest is replaced by an atomic rename, so a run that fails at any point
-leaves the state as it was and its records are handed out again.
+and named by numbered manifests. A run hashes the current rows, takes those whose (key, hash) the state doesn't hold,
+and on success adds them as a segment. Version n is the file manifest-n, which appears whole and only once: of several
+writers that saw version n-1, the first to put it there wins, and the others fail and change nothing. Segments are
+merged by levels, so a record is rewritten as often as there are levels.
+
+run() makes this exactly once for work that can be repeated by number: what a run takes is written down before the work
+starts, and that the work is done before the commit. A run that died is resumed with the same rows and number.
 
 Defined results
 * Null equals null in the hashed fields; rows without key are left out.
@@ -14,14 +18,21 @@ Defined results
 from __future__ import annotations
 
 import json
+import os
+import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docloom.runtime import remove
+
 STATE = "k string, h string"
-#: Segments after which a commit rewrites them as one.
-MOST_SEGMENTS = 64
+#: Segments of one level that a commit merges into one of the next.
+FAN = 8
+#: Versions for which readers of an old manifest still find its files.
+KEPT = 4
 
 
 def content_hash(*fields: str | Column) -> Column:
@@ -31,7 +42,7 @@ def content_hash(*fields: str | Column) -> Column:
 
 
 def current_rows(rows: DataFrame, key: str, version: str, arrived: str) -> DataFrame:
-    """The current row of each key, without a sort of each key's history: the greatest struct is aggregated."""
+    """The current row of each key: the greatest struct, aggregated before and after the shuffle."""
     rest = [c for c in rows.columns if c not in (key, version, arrived)]
     late = -F.unix_micros(F.col(arrived).cast("timestamp"))
     order = F.struct(F.col(version).isNotNull().alias("a"), F.col(version).alias("b"), late.isNotNull().alias("c"), late.alias("d"), *[F.col(c).alias(f"r{i}") for i, c in enumerate(rest)])
@@ -39,8 +50,12 @@ def current_rows(rows: DataFrame, key: str, version: str, arrived: str) -> DataF
     return best.select(key, F.col("m.o.b").alias(version), F.col("m.at").alias(arrived), *[F.col(f"m.o.r{i}").alias(c) for i, c in enumerate(rest)])
 
 
-class ChangeState:
-    """(key, hash) of all records that successful runs took up."""
+class Conflict(RuntimeError):
+    """Another writer was first; nothing of this one's is in force."""
+
+
+class Manifests:
+    """Numbered versions in one folder of the shared store, each published whole and once."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -50,33 +65,80 @@ class ChangeState:
     def _at(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
-    def manifest(self) -> dict:
-        """The version in force: its number and segments."""
-        fs = self._at("manifest").getFileSystem(self._conf)
-        if not fs.exists(self._at("manifest")):
-            return {"version": 0, "segments": []}
-        stream = fs.open(self._at("manifest"))
+    def _fs(self):
+        return self._at("x").getFileSystem(self._conf)
+
+    def versions(self) -> list[int]:
+        fs = self._fs()
+        if not fs.exists(self._at(".")):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(self._at("."))]
+        return sorted(int(m[1]) for m in (re.fullmatch(r"manifest-(\d+)", n) for n in names) if m)
+
+    def current(self) -> dict:
+        """The version in force; number 0 is the empty one."""
+        there = self.versions()
+        return json.loads(self.read_text(f"manifest-{there[-1]}")) if there else {"version": 0}
+
+    def read_text(self, name: str) -> str:
+        stream = self._fs().open(self._at(name))
         try:
-            text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        return json.loads(text)
 
-    def _swap(self, manifest: dict) -> None:
-        """Write beside the manifest, then rename onto it: readers see the old version or the new one."""
-        temporary = self._at(f".manifest-{uuid.uuid4().hex}")
-        fs = temporary.getFileSystem(self._conf)
+    def exists(self, name: str) -> bool:
+        return self._fs().exists(self._at(name))
+
+    def create(self, name: str, text: str) -> bool:
+        """Put a whole file in place, unless one of that name is there: False then."""
+        temporary, fs = self._at(f".new-{uuid.uuid4().hex}"), self._fs()
         fs.mkdirs(self._at("."))
         stream = fs.create(temporary, True)
-        stream.write(bytearray(json.dumps(manifest), "utf-8"))
+        stream.write(bytearray(text, "utf-8"))
         stream.close()
-        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(temporary.toUri(), self._conf)
-        options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(temporary, self._at("manifest"), options)
+        try:
+            if fs.getScheme() == "file":
+                # A link fails if the name is taken; renaming on a local disk would replace it.
+                os.link(temporary.toUri().getPath(), self._at(name).toUri().getPath())
+                return True
+            context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(temporary.toUri(), self._conf)
+            context.rename(temporary, self._at(name), self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+            return True
+        except FileExistsError:
+            return False
+        except Exception:
+            if fs.exists(self._at(name)):
+                return False
+            raise
+        finally:
+            fs.delete(temporary, False)
+
+    def publish(self, manifest: dict) -> None:
+        """Make a version the one in force; Conflict if its number is taken. Old versions and what they alone used go."""
+        version = manifest["version"]
+        waste = dict(manifest.get("waste", {}))
+        late = [name for name, dropped in waste.items() if dropped <= version - KEPT]
+        manifest = manifest | {"waste": {k: v for k, v in waste.items() if k not in late}}
+        if version in self.versions() or not self.create(f"manifest-{version}", json.dumps(manifest)):
+            raise Conflict("another writer committed meanwhile; take the changes anew")
+        for name in [*late, *(f"manifest-{v}" for v in self.versions() if v <= version - KEPT)]:
+            remove(self.spark, f"{self.path}/{name}")
 
-    def seen(self) -> DataFrame:
-        segments = self.manifest()["segments"]
+
+class ChangeState:
+    """(key, hash) of all records that successful runs took up."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.manifests = Manifests(spark, path)
+
+    def manifest(self) -> dict:
+        """The version in force: its number and segments."""
+        return {"segments": []} | self.manifests.current()
+
+    def seen(self, segments: list[str] | None = None) -> DataFrame:
+        segments = self.manifest()["segments"] if segments is None else segments
         if not segments:
             return self.spark.createDataFrame([], STATE)
         return self.spark.read.schema(STATE).parquet(*[f"{self.path}/{s}" for s in segments])
@@ -90,24 +152,45 @@ class ChangeState:
         marked, seen = self.marked(rows, key, fields), self.seen()
         return marked.join(seen, (F.col("__k") == seen.k) & (F.col("__h") == seen.h), "left_anti").drop("__k", "__h")
 
-    def commit(self, taken: DataFrame, key: str, fields: list[str]) -> int:
-        """Make the rows of a successful run part of the state; the new version's number."""
+    def commit(self, taken: DataFrame, key: str, fields: list[str], after: int | None = None) -> int:
+        """Make the rows of a successful run part of the state; the new version's number. after: the version that the
+        rows were taken from, if another may have come since (Conflict then)."""
         old = self.manifest()
-        name = f"segment-{old['version'] + 1}-{uuid.uuid4().hex[:12]}"
+        if after is not None and old["version"] != after:
+            raise Conflict(f"version {after} is no longer in force")
+        number, segments, waste = old["version"] + 1, list(old["segments"]), dict(old.get("waste", {}))
         add = self.marked(taken, key, fields).select(F.col("__k").alias("k"), F.col("__h").alias("h")).distinct()
-        segments = old["segments"]
-        if len(segments) >= MOST_SEGMENTS:
-            add, segments = add.unionByName(self.seen()).distinct(), []
+        level = 0
+        while len(full := [s for s in segments if s.startswith(f"segment-{level}-")]) >= FAN - 1:
+            add = add.unionByName(self.seen(full)).distinct()
+            segments, waste, level = [s for s in segments if s not in full], waste | dict.fromkeys(full, number), level + 1
+        name = f"segment-{level}-{number}-{uuid.uuid4().hex[:12]}"
         add.write.parquet(f"{self.path}/{name}")
-        if self.manifest()["version"] != old["version"]:
-            raise RuntimeError("another run committed meanwhile; take the changes anew")
-        self._swap({"version": old["version"] + 1, "segments": [*segments, name]})
-        return old["version"] + 1
-
-    def run(self, rows: DataFrame, key: str, fields: list[str], work) -> int:
-        """Hand the changed rows to work(); commit what it was given only if it returns."""
-        from docloom.runtime import materialize
-
-        taken = materialize(self.changed(rows, key, fields), "taken")
-        work(taken)
-        return self.commit(taken, key, fields)
+        try:
+            self.manifests.publish({"version": number, "segments": [*segments, name], "waste": waste})
+        except Conflict:
+            remove(self.spark, f"{self.path}/{name}")
+            raise
+        return number
+
+    def run(self, rows: DataFrame, key: str, fields: list[str], work: Callable[[DataFrame, int], None], resume: bool = False) -> int:
+        """Hand the changed rows to work(rows, number) and commit them; the number of the run.
+
+        The rows are written down first. If a run dies, resume=True hands the same rows out under the same number, or,
+        if the work was done, only commits; work that writes to a place named by the number (overwriting it) therefore
+        takes effect once. Without resume, a run that is under way or died is a Conflict.
+        """
+        old = self.manifest()["version"]
+        number, place = old + 1, f"run-{old + 1}"
+        if not self.manifests.create(f"{place}.claim", "") and not resume:
+            raise Conflict(f"run {number} is under way, or died: resume it")
+        if not self.manifests.exists(f"{place}/_SUCCESS"):
+            self.changed(rows, key, fields).write.mode("overwrite").parquet(f"{self.path}/{place}")
+        taken = self.spark.read.schema(rows.schema).parquet(f"{self.path}/{place}")
+        if not self.manifests.exists(f"{place}.done"):
+            work(taken, number)
+            self.manifests.create(f"{place}.done", "")
+        self.commit(taken, key, fields, after=old)
+        for name in (place, f"{place}.claim", f"{place}.done"):
+            remove(self.spark, f"{self.path}/{name}")
+        return number

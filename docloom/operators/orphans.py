@@ -2,10 +2,11 @@
 
 Parent keys become integers, sorted and compressed into contiguous runs (first, last). Each distinct reference meets,
 as of its own value, the last run that starts at or before it, and is an orphan if it lies beyond that run's end.
-Runs never cross the border of a block of 65,536 keys, so blocks are searched side by side.
 
-Integer keys are compared as they are. A string key is compared exactly as written: its integer is made of the
-digits of its SHA-256, whose other digits name its block, so that equal integers of a block mean equal strings.
+Integer keys are compared as they are, in blocks of 65,536 neighbouring values. String keys, compared exactly as
+written, are spread over blocks by their hash; within a block the integer of a key is its dense rank among all keys of
+parents and references. So a run of string keys ends only where a reference without parent stands between, and there
+are at most as many runs as orphans and blocks. Runs never cross blocks, which are searched side by side.
 
 Defined results: null references are none; null parent keys are no parents; an empty parent table makes every
 reference an orphan.
@@ -18,7 +19,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.runtime import materialize
+
 BLOCK_BITS = 16
+#: Parent keys a block of string keys is meant to hold.
+BLOCK_KEYS = 32_768
+#: Orphan keys that are broadcast at most; more are joined by shuffle.
+BROADCAST_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -32,13 +39,13 @@ class Reference:
     parent_key: str
 
 
-def _place(key: Column, kind: str) -> tuple[Column, Column]:
-    """Block and integer of a key."""
+def _columns(key: Column, kind: str, blocks: int) -> tuple[Column, Column, Column]:
+    """Block, integer (0 for strings) and string (empty for integers) of a key."""
     if kind in ("bigint", "int", "smallint", "tinyint"):
         k = key.cast("long")
-        return F.shiftright(k, BLOCK_BITS).cast("string"), k
-    digest = F.sha2(key.cast("string"), 256)
-    return F.substring(digest, 16, 48), F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+        return F.shiftright(k, BLOCK_BITS), k, F.lit("")
+    text = key.cast("string")
+    return F.pmod(F.xxhash64(text), F.lit(blocks)).cast("long"), F.lit(0).cast("long"), text
 
 
 def runs(keys: DataFrame) -> DataFrame:
@@ -48,35 +55,42 @@ def runs(keys: DataFrame) -> DataFrame:
     return islands.groupBy("f", "block", "island").agg(F.min("k").alias("first"), F.max("k").alias("last")).drop("island")
 
 
-def orphan_keys(references: list[Reference]) -> DataFrame:
-    """(f, block, k) of the distinct references that no run holds; f is the number of the reference."""
-    parents = wanted = None
+def ranked_keys(references: list[Reference]) -> DataFrame:
+    """(f, block, n, s, k, parent, asked) of each distinct key; f is the number of the reference, k the integer by which
+    keys of a block are ordered."""
+    keys = None
     for f, r in enumerate(references):
         kind = dict(r.rows.dtypes)[r.field]
-        for which, frame, col in (("p", r.parents, r.parent_key), ("w", r.rows, r.field)):
-            block, k = _place(F.col(col), kind)
-            part = frame.where(F.col(col).isNotNull()).select(F.lit(f).alias("f"), block.alias("block"), k.alias("k"))
-            if which == "p":
-                parents = part if parents is None else parents.unionByName(part)
-            else:
-                wanted = part if wanted is None else wanted.unionByName(part)
-    starts = runs(parents).select("f", "block", F.col("first").alias("k"), F.lit(0).alias("what"), "last")
-    asked = wanted.distinct().select("f", "block", "k", F.lit(1).alias("what"), F.lit(None).cast("long").alias("last"))
+        blocks = max(1, -(-r.parents.count() // BLOCK_KEYS))
+        for parent, frame, col in ((True, r.parents, r.parent_key), (False, r.rows, r.field)):
+            block, n, s = _columns(F.col(col), kind, blocks)
+            part = frame.where(F.col(col).isNotNull()).select(F.lit(f).alias("f"), block.alias("block"), n.alias("n"), s.alias("s"), F.lit(parent).alias("parent"))
+            keys = part if keys is None else keys.unionByName(part)
+    once = keys.groupBy("f", "block", "n", "s").agg(F.bool_or("parent").alias("parent"), (~F.bool_and("parent")).alias("asked"))
+    rank = F.row_number().over(Window.partitionBy("f", "block").orderBy("n", "s"))
+    return once.withColumn("k", F.when(F.col("s") == "", F.col("n")).otherwise(rank.cast("long")))
+
+
+def orphan_keys(references: list[Reference]) -> DataFrame:
+    """(f, n, s) of the distinct references that no run holds."""
+    keys = materialize(ranked_keys(references), "keys")
+    starts = runs(keys.where("parent").select("f", "block", "k"))
+    starts = starts.select("f", "block", F.col("first").alias("k"), F.lit(0).alias("what"), "last", F.lit(0).cast("long").alias("n"), F.lit("").alias("s"))
+    asked = keys.where("asked").select("f", "block", "k", F.lit(1).alias("what"), F.lit(None).cast("long").alias("last"), "n", "s")
     as_of = Window.partitionBy("f", "block").orderBy("k", "what").rowsBetween(Window.unboundedPreceding, 0)
     met = starts.unionByName(asked).withColumn("end", F.last("last", ignorenulls=True).over(as_of))
-    return met.where((F.col("what") == 1) & (F.col("end").isNull() | (F.col("k") > F.col("end")))).select("f", "block", "k")
+    return met.where((F.col("what") == 1) & (F.col("end").isNull() | (F.col("k") > F.col("end")))).select("f", "n", "s")
 
 
 def orphans(references: list[Reference], id_cols: list[str], time_cols: list[str]) -> DataFrame:
     """(tbl, field, row_id, period): each reference without a parent, by the month of its time column."""
-    missing, out = orphan_keys(references), None
-    rows = None
+    missing, rows = materialize(orphan_keys(references), "orphans"), None
     for f, (r, row_id, when) in enumerate(zip(references, id_cols, time_cols)):
-        block, k = _place(F.col(r.field), dict(r.rows.dtypes)[r.field])
+        _, n, s = _columns(F.col(r.field), dict(r.rows.dtypes)[r.field], 1)
         part = r.rows.where(F.col(r.field).isNotNull()).select(
-            F.lit(f).alias("f"), block.alias("block"), k.alias("k"), F.lit(r.table).alias("tbl"), F.lit(r.field).alias("field"),
+            F.lit(f).alias("f"), n.alias("n"), s.alias("s"), F.lit(r.table).alias("tbl"), F.lit(r.field).alias("field"),
             F.col(row_id).cast("long").alias("row_id"), F.date_format(when, "yyyy-MM").alias("period"),
         )
         rows = part if rows is None else rows.unionByName(part)
-    out = rows.join(missing, ["f", "block", "k"], "left_semi")
-    return out.select("tbl", "field", "row_id", "period")
+    few = missing.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(missing) if few else missing, ["f", "n", "s"], "left_semi").select("tbl", "field", "row_id", "period")

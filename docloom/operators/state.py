@@ -35,14 +35,16 @@ def upsert_pending(files: DataFrame, seen: DataFrame, now: int) -> DataFrame:
 
 def upsert_active(files: DataFrame, done: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
     """Vectorised files (path, folder_path, file_name, size, last_modified, file_hash) become active if they are still
-    pending or new. Also the refused paths, whose chunks must be dropped."""
+    pending or new; a pending row keeps its folder, name and retries. Also the refused paths, whose chunks must be dropped."""
     new = done.select("path", *[F.col(c).alias(f"n_{c}") for c in ("folder_path", "file_name", "file_hash", "size", "last_modified")], F.lit(True).alias("hit"))
     both = files.select(*FILE, F.lit(True).alias("known")).join(new, "path", "full")
-    ok = F.coalesce("hit", F.lit(False)) & (F.col("known").isNull() | F.coalesce(F.col("status") == "pending", F.lit(False)))
+    fresh = F.col("known").isNull()
+    ok = F.coalesce("hit", F.lit(False)) & (fresh | F.coalesce(F.col("status") == "pending", F.lit(False)))
     pick = lambda c: F.when(ok, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c)
+    first = lambda c, v: F.when(fresh, v).otherwise(F.col(c)).alias(c)
     out = both.select(
-        pick("folder_path"), "path", pick("file_name"), pick("file_hash"), pick("size"), pick("last_modified"), F.when(ok, "active").otherwise(F.col("status")).alias("status"),
-        F.when(ok, 0).otherwise(F.col("retry_count")).alias("retry_count"), F.when(ok, F.lit(now).cast("long")).otherwise(F.col("updated_at")).alias("updated_at"),
+        first("folder_path", F.col("n_folder_path")), "path", first("file_name", F.col("n_file_name")), pick("file_hash"), pick("size"), pick("last_modified"), F.when(ok, "active").otherwise(F.col("status")).alias("status"),
+        first("retry_count", F.lit(0)), F.when(ok, F.lit(now).cast("long")).otherwise(F.col("updated_at")).alias("updated_at"),
     )
     return out, both.where(F.col("hit") & ~ok).select("path")
 
@@ -64,14 +66,27 @@ def refresh_metadata(files: DataFrame, listing: DataFrame, now: int) -> DataFram
 
 
 def mark_missing(rows: DataFrame, root: str, now: int) -> DataFrame:
+    """Files, or folders, at or below a path that is gone."""
     hit = F.coalesce(T.under(F.col("path"), root), F.lit(False))
     return rows.withColumns({"status": F.when(hit, "missing").otherwise(F.col("status")), "updated_at": F.when(hit, F.lit(now).cast("long")).otherwise(F.col("updated_at"))})
 
 
-def rename(rows: DataFrame, old: str, new: str, columns: tuple[str, ...] = ("path", "folder_path")) -> DataFrame:
-    """Paths and folder paths of a moved tree."""
-    change = {c: F.when(T.under(F.col(c), old), T.moved(F.col(c), old, new)).otherwise(F.col(c)) for c in columns if c in rows.columns}
-    return rows.withColumns(change)
+def rename_file(files: DataFrame, old: str, new: str, now: int) -> DataFrame:
+    """One file under a new path: path, name and folder follow, the content and status stay."""
+    hit = F.coalesce(F.col("path") == old, F.lit(False))
+    to = F.lit(new)
+    change = {"path": to, "file_name": T.basename(to), "folder_path": T.dirname(to), "updated_at": F.lit(now).cast("long")}
+    return files.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in change.items()})
+
+
+def rename_tree(folders: DataFrame, files: DataFrame, old: str, new: str, now: int) -> tuple[DataFrame, DataFrame]:
+    """Folders and files of a moved tree: paths (of files, folder paths too) are rewritten, the folders are active again."""
+    moved = F.coalesce(T.under(F.col("path"), old), F.lit(False))
+    stamp = F.when(moved, F.lit(now).cast("long")).otherwise(F.col("updated_at"))
+    path = F.when(moved, T.moved(F.col("path"), old, new)).otherwise(F.col("path"))
+    home = F.when(T.under(F.col("folder_path"), old), T.moved(F.col("folder_path"), old, new)).otherwise(F.col("folder_path"))
+    dirs = folders.withColumns({"path": path, "status": F.when(moved, "active").otherwise(F.col("status")), "updated_at": stamp})
+    return dirs, files.withColumns({"path": path, "folder_path": home, "updated_at": stamp})
 
 
 def ghosts(files: DataFrame, found: DataFrame) -> DataFrame:
@@ -93,10 +108,10 @@ def claim_ghosts(files: DataFrame, found: DataFrame, now: int) -> DataFrame:
 
 
 def record_failures(files: DataFrame, failed: DataFrame, now: int) -> DataFrame:
-    """One more try of the failed paths; given up when two were counted before."""
+    """One more try of the failed paths: given up when two were counted before, else pending, whatever they were."""
     hit = F.col("hit").isNotNull()
     out = files.join(failed.select("path", F.lit(1).alias("hit")).distinct(), "path", "left")
-    status = F.when(hit & (F.coalesce("retry_count", F.lit(0)) >= RETRIES - 1), "failed").otherwise(F.col("status"))
+    status = F.when(hit & (F.coalesce("retry_count", F.lit(0)) >= RETRIES - 1), "failed").when(hit, "pending").otherwise(F.col("status"))
     return out.withColumns({"status": status, "retry_count": F.coalesce("retry_count", F.lit(0)) + hit.cast("int"), "updated_at": F.when(hit, F.lit(now).cast("long")).otherwise(F.col("updated_at"))}).drop("hit")
 
 
@@ -140,10 +155,10 @@ def set_visibility(folders: DataFrame, root: str, public: bool, subfolders: bool
 
 
 def unwatch(folders: DataFrame, files: DataFrame, root: str, now: int) -> tuple[DataFrame, DataFrame]:
-    """A tree is ignored from now on: its folders are marked, its files go."""
-    hit = T.under(F.col("path"), root)
+    """A tree is ignored from now on: its folders are marked, the files of its folders go."""
+    hit = F.coalesce(T.under(F.col("path"), root), F.lit(False))
     marked = folders.withColumns({"status": F.when(hit, "ignored").otherwise(F.col("status")), "updated_at": F.when(hit, F.lit(now).cast("long")).otherwise(F.col("updated_at"))})
-    return marked, files.where(~hit)
+    return marked, files.where(~F.coalesce(T.under(F.col("folder_path"), root), F.lit(False)))
 
 
 def directory_states(paths: DataFrame, folders: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators.incremental import ChangeState, current_rows
 from docloom.operators.orphans import Reference, orphans
-from docloom.runtime import table, work_path
+from docloom.runtime import materialize, table, work_path
 
 TAKEN = ["last_modified", "updated_at", "status"]
 
@@ -31,13 +31,14 @@ def _first_rows(df: DataFrame, row_id: str, field: str) -> DataFrame:
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """Orphan references of files, chunks and vectors."""
     files = current_rows(table(spark, sf, "files").select("id", "updated_at", "loaded_at", "file_hash", "folder_path"), "id", "updated_at", "loaded_at")
+    files = materialize(files.select("id", "loaded_at", "file_hash", "folder_path"), "current")
     documents, chunks = table(spark, sf, "documents").select("hash"), table(spark, sf, "chunks")
     vectors = table(spark, sf, "vec_chunks").select("chunk_id", "loaded_at").where("chunk_id is not null").groupBy("chunk_id").agg(F.min("loaded_at").alias("loaded_at"))
     references = [
         Reference("files", "file_hash", files, documents, "hash"),
         Reference("files", "folder_path", files, table(spark, sf, "folders").select("path"), "path"),
-        Reference("chunks", "document_hash", _first_rows(chunks, "id", "document_hash"), documents, "hash"),
-        Reference("vec_chunks", "chunk_id", vectors, chunks.select("id"), "id"),
+        Reference("chunks", "document_hash", materialize(_first_rows(chunks, "id", "document_hash"), "first"), documents, "hash"),
+        Reference("vec_chunks", "chunk_id", materialize(vectors, "vectors"), chunks.select("id"), "id"),
     ]
     return orphans(references, ["id", "id", "row_id", "chunk_id"], ["loaded_at"] * 4)
 

@@ -45,6 +45,12 @@ def upsert_active_guarded(spark, sf):
     return M.upsert_active(f, _seen(f).withColumn("file_hash", F.sha2("path", 256)), NOW)[0]
 
 
+def refused_paths(spark, sf):
+    """Paths whose chunks must be dropped, as someone else changed the file meanwhile."""
+    f = _files(spark, sf)
+    return M.upsert_active(f, _seen(f).withColumn("file_hash", F.sha2("path", 256)), NOW)[1]
+
+
 def metadata_refresh(spark, sf):
     f = _files(spark, sf)
     return M.refresh_metadata(f, _listing(f), NOW)
@@ -54,8 +60,21 @@ def mark_missing(spark, sf):
     return M.mark_missing(_files(spark, sf), ROOT, NOW).select("id", "status", "updated_at")
 
 
+def mark_missing_folders(spark, sf):
+    return M.mark_missing(table(spark, sf, "folders"), ROOT, NOW).select("id", "status", "updated_at")
+
+
 def rename_prefix(spark, sf):
-    return M.rename(_files(spark, sf), ROOT, "/archive/r").select("id", "path", "folder_path")
+    return M.rename_tree(table(spark, sf, "folders"), _files(spark, sf), ROOT, "/archive/r", NOW)[1].select("id", "path", "folder_path", "updated_at")
+
+
+def rename_folders(spark, sf):
+    return M.rename_tree(table(spark, sf, "folders"), _files(spark, sf), ROOT, "/archive/r", NOW)[0].select("id", "path", "status", "updated_at")
+
+
+def rename_one_file(spark, sf):
+    f = _files(spark, sf)
+    return M.rename_file(f, f.agg(F.min("path")).first()[0] or "", "/archive/r/new name.txt", NOW).select("id", "path", "folder_path", "file_name", "status", "updated_at")
 
 
 def _found(files):
@@ -78,7 +97,7 @@ def retry_select(spark, sf):
 
 def retry_transition(spark, sf):
     f = _files(spark, sf)
-    return M.record_failures(f, f.where("status = 'pending'"), NOW).select("id", "status", "retry_count")
+    return M.record_failures(f, f.where("status in ('pending', 'active')"), NOW).select("id", "status", "retry_count", "updated_at")
 
 
 def gc_expired(spark, sf):
@@ -110,6 +129,13 @@ def cascade_vectors(spark, sf):
     return _cascaded(spark, sf)[3].select("chunk_id").distinct()
 
 
+def cascade_leaving(spark, sf):
+    """Documents left when the files of ignored folders go: of those that had files before, the ones that still have some;
+    documents that never had a file stay."""
+    folders, before = table(spark, sf, "folders").where("status is null or status <> 'ignored'"), _files(spark, sf)
+    return M.cascade(folders, before, table(spark, sf, "documents"), table(spark, sf, "chunks"), table(spark, sf, "vec_chunks"), before)[1].select("hash")
+
+
 def folder_upsert(spark, sf):
     f = table(spark, sf, "folders")
     seen = f.where("id % 3 = 0").select("path").unionByName(f.where("id % 4 = 0").select(F.concat("path", F.lit("/sub")).alias("path")))
@@ -163,14 +189,14 @@ def debounce_two_seconds(spark, sf):
 
 
 def event_route(spark, sf):
-    return E.route(E.file_events(table(spark, sf, "events"))).select("event_id", "path", "action")
+    return E.route(E.moving_events(table(spark, sf, "events"))).select("event_id", "path", "action")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        change_detect, upsert_pending, upsert_active_guarded, metadata_refresh, mark_missing, rename_prefix, ghost_match, claim_ghost, retry_select, retry_transition, gc_expired, gc_folders,
-        orphan_documents, cascade_files, cascade_chunks, cascade_vectors, folder_upsert, folder_visibility, folder_unwatch, unwatched_files, directory_state, file_info, existence_sweep,
+        change_detect, upsert_pending, upsert_active_guarded, refused_paths, metadata_refresh, mark_missing, mark_missing_folders, rename_prefix, rename_folders, rename_one_file, ghost_match, claim_ghost, retry_select, retry_transition, gc_expired, gc_folders,
+        orphan_documents, cascade_files, cascade_chunks, cascade_vectors, cascade_leaving, folder_upsert, folder_visibility, folder_unwatch, unwatched_files, directory_state, file_info, existence_sweep,
         boot_sync_reconcile, vanished_folders, debounce_sessions, debounce_two_seconds, event_route,
     )
 }
@@ -185,24 +211,29 @@ _DEB = "WITH {ev}, m AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL {gap
 ORACLE = {
     "change_detect": f"WITH {_LIST} SELECT d.path, CASE WHEN c.id IS NULL THEN 'new' WHEN d.size IS NOT DISTINCT FROM c.size AND d.mtime IS NOT DISTINCT FROM c.last_modified THEN 'same' ELSE 'changed' END AS change FROM disk d LEFT JOIN cur c ON c.path = d.path",
     "upsert_pending": f"WITH {_SEEN} SELECT coalesce(c.folder_path, s.folder_path) AS folder_path, coalesce(c.path, s.path) AS path, coalesce(c.file_name, s.file_name) AS file_name, CASE WHEN s.path IS NULL THEN c.file_hash END AS file_hash, coalesce(s.size, c.size) AS size, coalesce(s.last_modified, c.last_modified) AS last_modified, CASE WHEN s.path IS NULL THEN c.status ELSE 'pending' END AS status, CASE WHEN s.path IS NULL THEN c.retry_count ELSE 0 END AS retry_count, CASE WHEN s.path IS NULL THEN c.updated_at ELSE {NOW} END AS updated_at FROM cur c FULL JOIN seen s ON s.path = c.path",
-    "upsert_active_guarded": f"WITH {_SEEN}, b AS (SELECT c.*, s.path AS sp, s.folder_path AS sf, s.file_name AS sn, s.size AS ss, s.last_modified AS sl, s.path IS NOT NULL AND (c.id IS NULL OR coalesce(c.status = 'pending', false)) AS ok FROM cur c FULL JOIN seen s ON s.path = c.path) SELECT CASE WHEN ok THEN sf ELSE folder_path END AS folder_path, coalesce(path, sp) AS path, CASE WHEN ok THEN sn ELSE file_name END AS file_name, CASE WHEN ok THEN sha256(sp) ELSE file_hash END AS file_hash, CASE WHEN ok THEN ss ELSE size END AS size, CASE WHEN ok THEN sl ELSE last_modified END AS last_modified, CASE WHEN ok THEN 'active' ELSE status END AS status, CASE WHEN ok THEN 0 ELSE retry_count END AS retry_count, CASE WHEN ok THEN {NOW} ELSE updated_at END AS updated_at FROM b",
+    "upsert_active_guarded": f"WITH {_SEEN}, b AS (SELECT c.*, s.path AS sp, s.folder_path AS sf, s.file_name AS sn, s.size AS ss, s.last_modified AS sl, s.path IS NOT NULL AND (c.id IS NULL OR coalesce(c.status = 'pending', false)) AS ok FROM cur c FULL JOIN seen s ON s.path = c.path) SELECT CASE WHEN id IS NULL THEN sf ELSE folder_path END AS folder_path, coalesce(path, sp) AS path, CASE WHEN id IS NULL THEN sn ELSE file_name END AS file_name, CASE WHEN ok THEN sha256(sp) ELSE file_hash END AS file_hash, CASE WHEN ok THEN ss ELSE size END AS size, CASE WHEN ok THEN sl ELSE last_modified END AS last_modified, CASE WHEN ok THEN 'active' ELSE status END AS status, CASE WHEN id IS NULL THEN 0 ELSE retry_count END AS retry_count, CASE WHEN ok THEN {NOW} ELSE updated_at END AS updated_at FROM b",
+    "refused_paths": f"WITH {_SEEN} SELECT s.path FROM seen s JOIN cur c ON c.path = s.path WHERE c.status IS DISTINCT FROM 'pending'",
     "metadata_refresh": f"WITH {_LIST}, b AS (SELECT c.*, d.size AS ns, d.mtime AS nt, coalesce(d.hash = c.file_hash AND c.status IS DISTINCT FROM 'missing', false) AS hit FROM cur c LEFT JOIN disk d ON d.path = c.path) SELECT folder_path, path, file_name, file_hash, CASE WHEN hit THEN ns ELSE size END AS size, CASE WHEN hit THEN nt ELSE last_modified END AS last_modified, status, retry_count, CASE WHEN hit THEN {NOW} ELSE updated_at END AS updated_at FROM b",
     "mark_missing": f"WITH {CURRENT} SELECT id, CASE WHEN {_UNDER.format(c='path')} THEN 'missing' ELSE status END AS status, CASE WHEN {_UNDER.format(c='path')} THEN {NOW} ELSE updated_at END AS updated_at FROM cur",
-    "rename_prefix": f"WITH {CURRENT} SELECT id, CASE WHEN {_UNDER.format(c='path')} THEN '/archive/r' || substring(path, {len(ROOT) + 1}) ELSE path END AS path, CASE WHEN {_UNDER.format(c='folder_path')} THEN '/archive/r' || substring(folder_path, {len(ROOT) + 1}) ELSE folder_path END AS folder_path FROM cur",
+    "rename_prefix": f"WITH {CURRENT} SELECT id, CASE WHEN {_UNDER.format(c='path')} THEN '/archive/r' || substring(path, {len(ROOT) + 1}) ELSE path END AS path, CASE WHEN {_UNDER.format(c='folder_path')} THEN '/archive/r' || substring(folder_path, {len(ROOT) + 1}) ELSE folder_path END AS folder_path, CASE WHEN {_UNDER.format(c='path')} THEN {NOW} ELSE updated_at END AS updated_at FROM cur",
+    "rename_folders": f"SELECT id, CASE WHEN {_UNDER.format(c='path')} THEN '/archive/r' || substring(path, {len(ROOT) + 1}) ELSE path END AS path, CASE WHEN {_UNDER.format(c='path')} THEN 'active' ELSE status END AS status, CASE WHEN {_UNDER.format(c='path')} THEN {NOW} ELSE updated_at END AS updated_at FROM folders",
+    "rename_one_file": f"WITH {CURRENT}, h AS (SELECT *, coalesce(path = (SELECT min(path) FROM cur), false) AS hit FROM cur) SELECT id, CASE WHEN hit THEN '/archive/r/new name.txt' ELSE path END AS path, CASE WHEN hit THEN '/archive/r' ELSE folder_path END AS folder_path, CASE WHEN hit THEN 'new name.txt' ELSE file_name END AS file_name, status, CASE WHEN hit THEN {NOW} ELSE updated_at END AS updated_at FROM h",
+    "mark_missing_folders": f"SELECT id, CASE WHEN {_UNDER.format(c='path')} THEN 'missing' ELSE status END AS status, CASE WHEN {_UNDER.format(c='path')} THEN {NOW} ELSE updated_at END AS updated_at FROM folders",
     "ghost_match": f"WITH {_BACK} SELECT path, ghost_id FROM ghost",
     "claim_ghost": f"WITH {_BACK}, one AS (SELECT ghost_id, min(path) AS path FROM ghost GROUP BY ghost_id) SELECT path, file_hash, status FROM cur WHERE id NOT IN (SELECT ghost_id FROM one) AND path NOT IN (SELECT path FROM one) UNION ALL SELECT f.path, f.hash, 'active' FROM found f JOIN one o ON o.path = f.path",
     "retry_select": f"WITH {CURRENT} SELECT id, path FROM cur WHERE status = 'pending' AND retry_count > 0 AND retry_count < 3",
-    "retry_transition": f"WITH {CURRENT} SELECT id, CASE WHEN status = 'pending' AND retry_count >= 2 THEN 'failed' ELSE status END AS status, coalesce(retry_count, 0) + CASE WHEN status = 'pending' THEN 1 ELSE 0 END AS retry_count FROM cur",
+    "retry_transition": f"WITH {CURRENT} SELECT id, CASE WHEN status NOT IN ('pending', 'active') OR status IS NULL THEN status WHEN retry_count >= 2 THEN 'failed' ELSE 'pending' END AS status, coalesce(retry_count, 0) + CASE WHEN status IN ('pending', 'active') THEN 1 ELSE 0 END AS retry_count, CASE WHEN status IN ('pending', 'active') THEN {NOW} ELSE updated_at END AS updated_at FROM cur",
     "gc_expired": f"WITH {CURRENT} SELECT id FROM cur WHERE NOT coalesce(status = 'missing' AND updated_at <= {NOW} - 604800, false)",
     "gc_folders": f"SELECT id FROM folders WHERE NOT coalesce(status = 'missing' AND updated_at <= {NOW} - 604800, false)",
     "orphan_documents": f"WITH {CURRENT} SELECT hash FROM documents d WHERE NOT EXISTS (SELECT 1 FROM cur WHERE file_hash = d.hash)",
     "cascade_files": f"WITH {_CASC} SELECT id FROM fi",
     "cascade_chunks": f"WITH {_CASC} SELECT id FROM ck",
     "cascade_vectors": f"WITH {_CASC} SELECT DISTINCT chunk_id FROM vec_chunks WHERE chunk_id IN (SELECT id FROM ck)",
+    "cascade_leaving": f"WITH {_CASC} SELECT hash FROM documents WHERE hash NOT IN (SELECT file_hash FROM cur WHERE file_hash IS NOT NULL) OR hash IN (SELECT file_hash FROM fi WHERE file_hash IS NOT NULL)",
     "folder_upsert": f"WITH seen AS (SELECT path FROM folders WHERE id % 3 = 0 UNION SELECT path || '/sub' FROM folders WHERE id % 4 = 0) SELECT coalesce(f.path, s.path) AS path, CASE WHEN s.path IS NULL THEN status ELSE 'active' END AS status, CASE WHEN s.path IS NULL THEN updated_at ELSE {NOW} END AS updated_at, coalesce(is_public, false) AS is_public FROM folders f FULL JOIN seen s ON s.path = f.path",
     "folder_visibility": f"SELECT id, CASE WHEN {_UNDER.format(c='path')} THEN true ELSE is_public END AS is_public, CASE WHEN {_UNDER.format(c='path')} THEN {NOW} ELSE updated_at END AS updated_at FROM folders",
     "folder_unwatch": f"SELECT id, CASE WHEN {_UNDER.format(c='path')} THEN 'ignored' ELSE status END AS status, CASE WHEN {_UNDER.format(c='path')} THEN {NOW} ELSE updated_at END AS updated_at FROM folders",
-    "unwatched_files": f"WITH {CURRENT} SELECT id FROM cur WHERE NOT {_UNDER.format(c='path')}",
+    "unwatched_files": f"WITH {CURRENT} SELECT id FROM cur WHERE NOT coalesce({_UNDER.format(c='folder_path')}, false)",
     "directory_state": "SELECT path, id % 9 <> 0 AS is_valid, coalesce(id % 9 <> 0 AND status = 'active', false) AS is_watched, coalesce(id % 9 <> 0 AND status = 'active' AND is_public, false) AS is_public, coalesce(id % 9 <> 0 AND status = 'ignored', false) AS is_ignored FROM folders",
     "file_info": f"WITH {CURRENT} SELECT file_name, path, size, status, updated_at FROM cur WHERE path = (SELECT min(path) FROM cur)",
     "existence_sweep": f"WITH {_LIST} SELECT id, CASE WHEN path NOT IN (SELECT path FROM disk) THEN 'missing' ELSE status END AS status FROM cur",
@@ -210,5 +241,5 @@ ORACLE = {
     "vanished_folders": "SELECT id FROM folders WHERE NOT coalesce(status = 'ignored' AND id % 2 <> 0, false)",
     "debounce_sessions": _DEB.format(ev=_EV, gap="1 HOUR"),
     "debounce_two_seconds": _DEB.format(ev=_EV, gap="2 SECONDS"),
-    "event_route": f"WITH {_EV} SELECT event_id, path, CASE WHEN is_dir AND op = 'create' THEN 'scan' WHEN is_dir AND op = 'write' THEN 'drop' WHEN op IN ('create', 'write') THEN 'debounce' ELSE 'soft_delete' END AS action FROM ev",
+    "event_route": f"WITH {_EV}, mv AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN path || '/Node_Modules' ELSE path END AS path, op, is_dir AND event_id % 7 <> 0 AS enter, event_id % 3 = 0 AS moved FROM ev) SELECT event_id, path, CASE WHEN enter AND op = 'create' THEN 'scan' WHEN enter AND op = 'write' THEN 'drop' WHEN op = 'create' AND moved THEN 'rename' WHEN op IN ('create', 'write') THEN 'debounce' ELSE 'soft_delete' END AS action FROM mv",
 }

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
 
 from docloom.functions import chunker, embed
 from docloom.functions import text as T
+from docloom.functions import vector as V
 from docloom.operators import filters as N
 from docloom.plans.search_queries import CURRENT, files_now
 from docloom.runtime import ship_package, table
@@ -40,9 +43,27 @@ def target_filter(spark, sf):
 
 def extension_route(spark, sf):
     """What becomes of each file by its extension."""
-    ext = T.extension(F.col("file_name"))
-    route = F.when(ext == "", "no extension").when(ext.isin(".txt", ".md"), "plain").when(ext.isin(*N.EXTENSIONS), F.substring(ext, 2, 9)).otherwise("unsupported")
-    return files_now(spark, sf).select("id", route.alias("route"))
+    return files_now(spark, sf).select("id", T.route(F.col("file_name")).alias("route"))
+
+
+def path_clean(spark, sf):
+    """Paths with dots, doubled separators and steps upward, in their shortest spelling."""
+    messy = F.concat(F.col("folder_path"), F.lit("//./x/../"), F.col("file_name"), F.lit("/"))
+    up = F.concat(F.lit("../a/../../"), F.col("file_name"))
+    posix = files_now(spark, sf).where(~F.col("path").contains("\\") & ~F.col("path").contains(":"))
+    return posix.select("id", T.clean_path(messy).alias("path"), T.clean_path(up).alias("up"))
+
+
+def display_formats(spark, sf):
+    """Sizes and times as they are shown."""
+    return files_now(spark, sf).select("id", T.format_bytes(F.col("size")).alias("size"), T.format_date(F.col("updated_at")).alias("synced_at"))
+
+
+def vector_json(spark, sf):
+    """Vectors written as JSON and read back: those that come back the same."""
+    v = table(spark, sf, "embeddings")
+    back = V.from_json(V.to_json(F.col("embedding")))
+    return v.select("vec_id", (back == F.col("embedding")).alias("same"), F.size(back).alias("dim"))
 
 
 def mime_sniff(spark, sf):
@@ -106,10 +127,32 @@ def pptx_extract(spark, sf):
     return office.extract_all(_packed(spark, sf, "pptx"))
 
 
+def _as_pdf(text: str) -> bytes:
+    """A PDF of the text: form feeds part pages, each line is shown by one operator, in UTF-16 units of a font with a Unicode map."""
+    units = zlib.compress(b"1 begincodespacerange <0000> <ffff> endcodespacerange 1 beginbfrange <0000> <ffff> <0000> endbfrange")
+    objects = [b"<</Type/Catalog/Pages 2 0 R>>", b"", b"<</Type/Font/Subtype/Type0/ToUnicode 4 0 R>>", b"<</Filter/FlateDecode/Length %d>>stream\n%b\nendstream" % (len(units), units)]
+    kids = []
+    for page in text.split(chr(12)):
+        shown = b" T* ".join(b"<%b> Tj" % line.encode("utf-16-be").hex().encode() for line in page.split(chr(10)))
+        body = zlib.compress(b"BT /F 12 Tf " + shown + b" ET")
+        objects.append(b"<</Filter/FlateDecode/Length %d>>stream\n%b\nendstream" % (len(body), body))
+        kids.append(len(objects) + 1)
+        objects.append(b"<</Type/Page/Parent 2 0 R/Resources<</Font<</F 3 0 R>>>>/Contents %d 0 R>>" % (len(objects)))
+    objects[1] = b"<</Type/Pages/Count %d/Kids[%b]>>" % (len(kids), b" ".join(b"%d 0 R" % k for k in kids))
+    return b"%PDF-1.7\n" + b"".join(b"%d 0 obj%b endobj\n" % (i, o) for i, o in enumerate(objects, 1)) + b"trailer<</Root 1 0 R>>\n%%EOF"
+
+
 def pdf_extract(spark, sf):
-    """Texts as the pages of a PDF reader would give them (form feeds part pages)."""
-    pages = table(spark, sf, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), F.encode("text", "UTF-8").alias("content"))
-    return office.extract_all(pages, pdf=lambda data: data.decode().split(chr(12)))
+    """The documents as PDF files in memory, read back."""
+    ship_package(spark)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.record_batch([pa.array([f"{i}.pdf" for i in b.column(0).to_pylist()]), pa.array([_as_pdf(t or "") for t in b.column(1).to_pylist()], pa.binary())], names=["path", "content"])
+
+    return office.extract_all(table(spark, sf, "documents").select("doc_id", "text").mapInArrow(run, "path string, content binary"))
 
 
 def embed_text(spark, sf):
@@ -120,9 +163,9 @@ def directory_scan(spark, sf):
     return listing.list_tree(spark, [sf]).where("not is_dir").select(T.basename(F.col("path")).alias("name"), "size")
 
 
-QUERIES = {f.__name__: f for f in (chunk_text, sanitize_text, plain_text_read, pdf_line_repair, path_parts, target_filter, extension_route, mime_sniff, content_hash, content_hash_xxh64, document_dedup, docx_extract, pptx_extract, pdf_extract, embed_text, directory_scan)}
+QUERIES = {f.__name__: f for f in (chunk_text, sanitize_text, plain_text_read, pdf_line_repair, path_parts, target_filter, extension_route, path_clean, display_formats, vector_json, mime_sniff, content_hash, content_hash_xxh64, document_dedup, docx_extract, pptx_extract, pdf_extract, embed_text, directory_scan)}
 
-_S = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_S = T.SPACE_CLASS
 
 
 def _clean(x: str) -> str:
@@ -132,6 +175,15 @@ def _clean(x: str) -> str:
 
 _EXT = r"lower(regexp_extract({p}, '(\.[^./\\]*)$', 1))"
 _IN = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
+_PAGES = f"list_filter(list_transform(string_split(coalesce(text, ''), chr(12)), lambda x: {_clean('@')}), lambda x: length(x) > 0)"
+# What the Office files hold: lines without control characters; what is read: cleaned, empty ones dropped, a blank after each.
+_BARE = r"regexp_replace(x, '[\x00-\x1f]', '', 'g')"
+_PACKED = f"p AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {_clean(_BARE)}), lambda x: length(x) > 0) AS l FROM documents)"
+_OFFICE = "WITH {p} SELECT doc_id || '.{kind}' AS path, CASE WHEN len(l) > 0 THEN array_to_string(l, ' ') END AS text, CASE WHEN len(l) = 0 THEN 'no text' END AS error FROM p"
+_HEX = lambda t: "".join(f"({ord(c.upper()):02X}|{ord(c.lower()):02X})" for c in t)
+_HTML = "'^3C(" + "|".join(map(_HEX, N.TAGS)) + ")(20|3E)'"
+_KINDS = " ".join(f"WHEN regexp_matches(h, '^{p}') THEN '{k}'" for p, k in N.SIGNATURES)
+_FIXED = r"replace(regexp_replace(regexp_replace(x, '([a-zA-Z])-\n([a-zA-Z])', '\1\2', 'g'), '([a-zA-Z])\n([a-zA-Z])', '\1\2', 'g'), chr(10), ' ')"
 ORACLE = {
     "chunk_text": r"""WITH RECURSIVE w AS (
 SELECT doc_id, text, 0 AS idx, CAST(0 AS BIGINT) AS s, CAST(length(text) AS BIGINT) AS n FROM documents WHERE text <> ''
@@ -149,4 +201,11 @@ FROM (SELECT *, regexp_extract(substring(text, s + 652, 150), '[^ \n]*$') AS a F
     "extension_route": rf"WITH {CURRENT} SELECT id, CASE WHEN e = '' THEN 'no extension' WHEN e IN ('.txt', '.md') THEN 'plain' WHEN e IN ('.pdf', '.docx', '.pptx') THEN substring(e, 2) ELSE 'unsupported' END AS route FROM (SELECT id, {_EXT.format(p='file_name')} AS e FROM cur)",
     "content_hash": "SELECT doc_id, sha256(text) AS hash FROM documents",
     "document_dedup": "SELECT sha256(text) AS hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1",
+    "mime_sniff": f"WITH d AS (SELECT doc_id, substring(hex(encode(text)), 1, 1024) AS h FROM documents), t AS (SELECT *, regexp_replace(h, '^(09|0A|0C|0D|20)+', '') AS x FROM d) SELECT doc_id, CASE WHEN coalesce(h, '') = '' THEN NULL WHEN regexp_matches(x, {_HTML}) THEN 'text/html; charset=utf-8' WHEN regexp_matches(x, '^3C3F{_HEX('xml')}') THEN 'text/xml; charset=utf-8' {_KINDS} WHEN regexp_matches(h, '^(..)*(0[0-8BEF]|1[0-9ACDEF])') THEN 'application/octet-stream' ELSE 'text/plain; charset=utf-8' END AS mime FROM t",
+    "docx_extract": _OFFICE.format(p=_PACKED, kind="docx"),
+    "pptx_extract": _OFFICE.format(p=_PACKED, kind="pptx"),
+    "pdf_extract": f"WITH p AS (SELECT doc_id, regexp_replace(array_to_string({_PAGES.replace('@', _FIXED)}, ' '), '^{_S}+|{_S}+$', '', 'g') AS t FROM documents) SELECT doc_id || '.pdf' AS path, CASE WHEN length(t) > 0 THEN t END AS text, CASE WHEN length(t) = 0 THEN 'no text' END AS error FROM p",
+    "path_clean": rf"WITH {CURRENT}, c AS (SELECT id, folder_path || '/' || file_name AS path, '../../' || file_name AS up FROM cur WHERE NOT contains(path, chr(92)) AND NOT contains(path, ':')) SELECT id, regexp_replace(path, '//+', '/', 'g') AS path, up FROM c",
+    "display_formats": f"WITH {CURRENT} SELECT id, CASE WHEN size = 0 THEN '0 B' WHEN size < 1024 THEN printf('%.1f B', size::DOUBLE) WHEN size < 1048576 THEN printf('%.1f KB', size / 1024.0) WHEN size < 1073741824 THEN printf('%.1f MB', size / 1048576.0) ELSE printf('%.1f GB', size / 1073741824.0) END AS size, CASE WHEN coalesce(updated_at, 0) = 0 THEN '—' ELSE strftime(to_timestamp(updated_at) AT TIME ZONE 'UTC', '%b %-d, %Y, %I:%M %p') END AS synced_at FROM cur",
+    "vector_json": "SELECT vec_id, to_json(embedding)::FLOAT[] = embedding AS same, CAST(len(embedding) AS INT) AS dim FROM embeddings",
 }

@@ -11,11 +11,14 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from docloom.functions.text import TORN_BY_HYPHEN, TORN_BY_LINE
 from docloom.runtime import ship_package
+from docloom.sources import pdf
 
-#: Reads a PDF's pages; none is installed here, so callers give one: bytes to a list of page texts (None for a bad page).
+#: Reads a PDF's pages: bytes to a list of page texts (None for a bad page). The built-in one is pdf.pages.
 PdfReader = Callable[[bytes], list[str | None]]
 EMPTY = "no text"
+LONGEST_LINE = 10 * 1024 * 1024
 
 
 def clean(text: str) -> str:
@@ -41,6 +44,9 @@ def xml_text(data: bytes) -> str:
 
 
 def read_plain(data: bytes) -> str:
+    """The lines of a text file; a line of more than LONGEST_LINE bytes is an error."""
+    if len(data) > LONGEST_LINE and any(len(s) > LONGEST_LINE for s in data.split(b"\n")):
+        raise ValueError("line too long")
     lines = (clean(s) for s in data.decode("utf-8", "ignore").split("\n"))
     return "".join(s + "\n" for s in lines if s)
 
@@ -69,21 +75,18 @@ def read_pptx(data: bytes) -> str:
 
 def repair(page: str) -> str:
     """Words torn by hyphens or line ends put together."""
-    page = re.sub(r"([a-zA-Z])-\n([a-zA-Z])", r"\1\2", page)
-    return re.sub(r"([a-zA-Z])\n([a-zA-Z])", r"\1\2", page).replace("\n", " ")
+    return re.sub(TORN_BY_LINE, r"\1\2", re.sub(TORN_BY_HYPHEN, r"\1\2", page)).replace("\n", " ")
 
 
 def read_pdf(data: bytes, reader: PdfReader | None) -> str:
-    if reader is None:
-        raise ValueError("no PDF reader is set")
-    return " ".join(p for p in (clean(repair(page)) for page in reader(data) if page) if p)
+    return " ".join(p for p in (clean(repair(page)) for page in (reader or pdf.pages)(data) if page) if p)
 
 
-def extract(path: str, data: bytes | None, pdf: PdfReader | None = None) -> tuple[str | None, str | None]:
+def extract(path: str, data: bytes | None, reader: PdfReader | None = None) -> tuple[str | None, str | None]:
     """(text, error) of one file by its extension."""
     name = re.split(r"[/\\]", path or "")[-1]
     ext = name[name.rfind(".") :].lower() if "." in name else ""
-    readers = {".txt": read_plain, ".md": read_plain, ".docx": read_docx, ".pptx": read_pptx, ".pdf": lambda d: read_pdf(d, pdf)}
+    readers = {".txt": read_plain, ".md": read_plain, ".docx": read_docx, ".pptx": read_pptx, ".pdf": lambda d: read_pdf(d, reader)}
     if not ext:
         return None, "no extension"
     if ext not in readers:
@@ -95,7 +98,7 @@ def extract(path: str, data: bytes | None, pdf: PdfReader | None = None) -> tupl
     return (text, None) if text else (None, EMPTY)
 
 
-def extract_all(files: DataFrame, path: str = "path", content: str = "content", pdf: PdfReader | None = None) -> DataFrame:
+def extract_all(files: DataFrame, path: str = "path", content: str = "content", reader: PdfReader | None = None) -> DataFrame:
     """(path, text, error) of files with their content."""
     ship_package(files.sparkSession)
 
@@ -103,7 +106,7 @@ def extract_all(files: DataFrame, path: str = "path", content: str = "content",
         for b in batches:
             for i in range(0, b.num_rows, 64):
                 part = b.slice(i, 64)
-                got = [extract(p, d, pdf) for p, d in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
+                got = [extract(p, d, reader) for p, d in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
                 yield pa.record_batch([part.column(0), pa.array([t for t, _ in got], pa.string()), pa.array([e for _, e in got], pa.string())], names=["path", "text", "error"])
 
     return files.select(files[path].alias("path"), files[content].cast("binary").alias("content")).mapInArrow(run, "path string, text string, error string")

@@ -1,35 +1,64 @@
-"""All tables of the engine as one versioned snapshot: a commit writes new folders, then swaps one manifest."""
+"""All tables of the engine as one versioned snapshot: a commit writes new folders, then publishes one manifest."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.operators.incremental import ChangeState
+from docloom.operators.incremental import Conflict, Manifests
+from docloom.runtime import remove
 
 
 class Snapshots:
-    """Single writer, any readers: a reader sees the tables of one version."""
+    """Any readers, and writers of which the first to commit a version wins; a reader sees the tables of one version."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self._state = spark, ChangeState(spark, path)
-        self.path = self._state.path
+        self.spark, self.path = spark, path.rstrip("/")
+        self.manifests = Manifests(spark, path)
+
+    def version(self) -> int:
+        return self.manifests.current()["version"]
 
     def tables(self) -> dict[str, str]:
-        return dict(self._state.manifest().get("tables", {}))
+        return dict(self.manifests.current().get("tables", {}))
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{self.tables()[name]}")
 
-    def commit(self, **tables: DataFrame) -> int:
-        """Replace the given tables, keep the others; the new version's number. Nothing is visible before the swap."""
-        old = self._state.manifest()
-        places = dict(old.get("tables", {}))
-        for name, df in tables.items():
-            places[name] = f"{name}-{uuid.uuid4().hex[:12]}"
-            df.write.parquet(f"{self.path}/{places[name]}")
-        if self._state.manifest()["version"] != old["version"]:
-            raise RuntimeError("another writer committed meanwhile")
-        self._state._swap({"version": old["version"] + 1, "segments": [], "tables": places})
-        return old["version"] + 1
+    def read_all(self) -> tuple[int, dict[str, DataFrame]]:
+        """A version and its tables, which belong together."""
+        now = self.manifests.current()
+        return now["version"], {name: self.spark.read.parquet(f"{self.path}/{place}") for name, place in now.get("tables", {}).items()}
+
+    def commit(self, after: int | None = None, **tables: DataFrame) -> int:
+        """Replace the given tables, keep the others; the new version's number. Nothing is visible before the manifest
+        is there. after: the version that the tables were made from (Conflict if it is no longer in force)."""
+        old = self.manifests.current()
+        if after is not None and old["version"] != after:
+            raise Conflict(f"version {after} is no longer in force")
+        number, places, waste = old["version"] + 1, dict(old.get("tables", {})), dict(old.get("waste", {}))
+        new = {name: f"{name}-{number}-{uuid.uuid4().hex[:12]}" for name in tables}
+        try:
+            for name, df in tables.items():
+                df.write.parquet(f"{self.path}/{new[name]}")
+                if name in places:
+                    waste[places[name]] = number
+            self.manifests.publish({"version": number, "tables": places | new, "waste": waste})
+        except BaseException:
+            for place in new.values():
+                remove(self.spark, f"{self.path}/{place}")
+            raise
+        return number
+
+    def transform(self, change: Callable[[dict[str, DataFrame]], dict[str, DataFrame]], tries: int = 3) -> int:
+        """Commit change(tables); if another writer was first, make the change anew from what that one left."""
+        for left in reversed(range(tries)):
+            version, tables = self.read_all()
+            try:
+                return self.commit(after=version, **change(tables))
+            except Conflict:
+                if not left:
+                    raise
+        raise ValueError("tries must be positive")

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from docloom.functions import text as T
+from docloom.operators.filters import DENIED_FOLDERS, visible
+
 GAP = "2 seconds"
 
 
@@ -21,11 +24,23 @@ def file_events(events: DataFrame) -> DataFrame:
     return events.select("event_id", "ts", path.alias("path"), op.alias("op"), F.lit(None).cast("string").alias("old_path"), (F.col("event_id") % 10 == 0).alias("is_dir"))
 
 
+def moving_events(events: DataFrame) -> DataFrame:
+    """The same with old paths at every third event, and every seventh in a folder of a denied name."""
+    base = file_events(events)
+    old = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("/old"), F.col("path")))
+    return base.withColumns({"path": F.when(F.col("event_id") % 7 == 0, F.concat("path", F.lit("/Node_Modules"))).otherwise(F.col("path")), "old_path": old})
+
+
 def route(events: DataFrame) -> DataFrame:
-    """With the action that each event asks for; an unknown operation is dropped."""
-    op, folder = F.col("op"), F.coalesce("is_dir", F.lit(False))
+    """With the action that each event asks for; an unknown operation is dropped.
+
+    A created folder that may be entered is scanned, even if it has an old path, and its write events are dropped; for
+    folders of denied names, as for files, a creation with an old path is a rename, then writes are debounced."""
+    op = F.col("op")
+    name = F.lower(T.basename(F.col("path")))
+    folder = F.coalesce("is_dir", F.lit(False)) & F.coalesce(visible(name) & ~name.isin(*DENIED_FOLDERS), F.lit(False))
     action = (
-        F.when((op == "create") & F.col("old_path").isNotNull(), "rename").when(folder & (op == "create"), "scan").when(folder & (op == "write"), "drop")
+        F.when(folder & (op == "create"), "scan").when(folder & (op == "write"), "drop").when((op == "create") & (F.coalesce("old_path", F.lit("")) != ""), "rename")
         .when(op.isin("create", "write"), "debounce").when(op.isin("remove", "rename"), "soft_delete").otherwise("drop")
     )
     return events.withColumn("action", action)

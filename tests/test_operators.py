@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import io
+import os
 import zipfile
 from datetime import datetime, timedelta
 
@@ -13,9 +14,11 @@ from docloom.functions import chunker, embed
 from docloom.functions import text as T
 from docloom.functions import vector as V
 from docloom.operators import filters, search, state
-from docloom.operators.incremental import ChangeState, content_hash, current_rows
+from docloom.operators import incremental
+from docloom.operators import orphans as orphan_module
+from docloom.operators.incremental import ChangeState, Conflict, content_hash, current_rows
 from docloom.operators.orphans import Reference, orphans, runs
-from docloom.runtime import work_path
+from docloom.runtime import materialize, scratch, work_path
 from docloom.sources import listing, office
 from docloom.sources.snapshots import Snapshots
 from docloom.streaming import events
@@ -70,9 +73,11 @@ def test_filters(spark):
     )
     got = rows.where(filters.target(F.col("n"), F.col("f"), F.col("s"))).select("n", "s").collect()
     assert [tuple(r) for r in got] == [("a.txt", 50), ("a.TXT", 104857600), ("_n.txt", 99)]
-    kinds = spark.createDataFrame([(b"%PDF-1.7",), (b"PK\x03\x04..",), (b" <!DOCTYPE html>",), (b"\xef\xbb\xbfhi",), (b"\xff\xfeh\x00",), (b"plain text",), (b"a\x00b",), (b"",)], "c binary")
+    kinds = spark.createDataFrame([(b"%PDF-1.7",), (b"PK\x03\x04..",), (b" <!DOCTYPE html>",), (b"\xef\xbb\xbfhi",), (b"\xff\xfeh\x00",), (b"plain text",), (b"a\x00b",), (b"",), (b"BM rest",), (b"ID3 tags",), (b"%!PS-Adobe-3.0",), (b"GIF89a",), (b" <!-- x",), (b"<!--x",)], "c binary")
     assert [r[0] for r in kinds.select(filters.sniff(F.col("c"))).collect()] == [
-        "application/pdf", "application/zip", "text/html; charset=utf-8", "text/plain; charset=utf-8", "text/plain; charset=utf-16le", "text/plain; charset=utf-8", "application/octet-stream", None]
+        "application/pdf", "application/zip", "text/html; charset=utf-8", "text/plain; charset=utf-8", "text/plain; charset=utf-16le", "text/plain; charset=utf-8", "application/octet-stream", None,
+        "image/bmp", "audio/mpeg", "application/postscript", "image/gif", "text/html; charset=utf-8", "text/plain; charset=utf-8"]
+    assert kinds.where(filters.sniffed_ok(F.col("c"))).count() == 5
     assert kinds.where("c = x'706c61696e2074657874'").select(filters.sniff(F.col("c"), True)).first()[0] == "application/octet-stream"
 
 
@@ -90,13 +95,65 @@ def test_changes_survive_failed_runs(spark):
     handed = lambda r: sorted(x.id for x in state_.changed(r, "id", FIELDS).collect())
     assert handed(rows) == [1, 2]
     with pytest.raises(ZeroDivisionError):
-        state_.run(rows, "id", FIELDS, lambda taken: 1 / 0)
+        state_.run(rows.where("id = 2"), "id", FIELDS, lambda taken, number: 1 / 0)
     assert handed(rows) == [1, 2]
-    assert state_.run(rows.where("id = 2"), "id", FIELDS, lambda taken: taken.count()) == 1
-    assert handed(rows) == [1]
-    assert state_.run(rows, "id", FIELDS, lambda taken: None) == 2
+    # A dead run is not taken for free: it is resumed, with the rows that it took, whatever came since.
+    with pytest.raises(Conflict):
+        state_.run(rows, "id", FIELDS, lambda taken, number: None)
+    given = []
+    assert state_.run(rows, "id", FIELDS, lambda taken, number: given.extend((r.id, number) for r in taken.collect()), resume=True) == 1
+    assert given == [(2, 1)] and handed(rows) == [1]
+    assert state_.run(rows, "id", FIELDS, lambda taken, number: None) == 2
     assert handed(rows) == [] and handed(rows.limit(0)) == []
     assert handed(rows.withColumn("status", F.lit("b"))) == [1, 2]
+    # A crash between work and commit: the work isn't done again.
+    commit, state_.commit = state_.commit, lambda *a, **k: 1 / 0
+    new, times = rows.withColumn("status", F.lit("b")), []
+    with pytest.raises(ZeroDivisionError):
+        state_.run(new, "id", FIELDS, lambda taken, number: times.append(taken.count()))
+    state_.commit = commit
+    assert handed(new) == [1, 2]
+    assert state_.run(new, "id", FIELDS, lambda taken, number: times.append(taken.count()), resume=True) == 3
+    assert times == [2] and handed(new) == [] and not state_.manifests.exists("run-3")
+
+
+def test_of_two_writers_the_first_wins(spark):
+    path = work_path(spark, "test-writers")
+    a, b = ChangeState(spark, path), ChangeState(spark, path)
+    rows = spark.createDataFrame([(i, i) for i in range(4)], "id long, v long")
+    create, manifests = b.manifests.create, b.manifests
+
+    def late(name, text):
+        if name == "manifest-1":  # between b's look at the versions and its own file
+            a.commit(rows.where("id < 2"), "id", ["v"])
+        return create(name, text)
+
+    manifests.create = late
+    with pytest.raises(Conflict):
+        b.commit(rows.where("id >= 2"), "id", ["v"])
+    manifests.create = create
+    assert sorted(r.id for r in a.changed(rows, "id", ["v"]).collect()) == [2, 3]
+    assert b.commit(rows.where("id >= 2"), "id", ["v"]) == 2 and a.changed(rows, "id", ["v"]).count() == 0
+    with pytest.raises(Conflict):
+        a.commit(rows, "id", ["v"], after=1)
+
+
+def test_segments_are_merged_by_levels(spark):
+    state_ = ChangeState(spark, work_path(spark, "test-levels"))
+    for i in range(18):
+        state_.commit(spark.createDataFrame([(i, i)], "id long, v long"), "id", ["v"])
+    held = state_.manifest()["segments"]
+    assert sorted(s.split("-")[1] for s in held) == ["0", "0", "1", "1"] and state_.seen().count() == 18
+    names = [p for p in os.listdir(state_.path.removeprefix("file:")) if p.startswith("segment-")]
+    assert set(held) <= set(names) and len(names) <= len(held) + 2 * incremental.FAN
+
+
+def test_intermediate_folders_go(spark):
+    with scratch():
+        kept = materialize(spark.range(5), "test-scratch")
+        path = kept._docloom_path
+        assert kept.count() == 5 and os.path.exists(path.removeprefix("file:"))
+    assert not os.path.exists(path.removeprefix("file:"))
 
 
 def test_hash_tells_nulls_and_borders_apart(spark):
@@ -125,6 +182,17 @@ def test_orphans(spark):
     assert orphans([Reference("t", "k", rows.limit(0), parents, "p")], ["id"], ["at"]).count() == 0
 
 
+def test_runs_of_string_keys_end_at_orphans_only(spark, monkeypatch):
+    names = spark.createDataFrame([(f"{i * 7919:08x}",) for i in range(2000)], "p string")
+    rows = spark.createDataFrame([(i, f"{i * 7919:08x}" if i % 100 else f"{i * 7919:08x}z", None) for i in range(2000)], "id long, k string, at timestamp")
+    for size, blocks in ((32_768, 1), (100, 20)):
+        monkeypatch.setattr(orphan_module, "BLOCK_KEYS", size)
+        keys = orphan_module.ranked_keys([Reference("t", "k", rows, names, "p")])
+        found = runs(keys.where("parent").select("f", "block", "k"))
+        assert found.agg(F.sum(F.col("last") - F.col("first") + 1)).first()[0] == 2000 and found.count() <= 20 + blocks
+        assert sorted(r.row_id for r in orphans([Reference("t", "k", rows, names, "p")], ["id"], ["at"]).collect()) == list(range(0, 2000, 100))
+
+
 def test_state_machine(spark):
     now = 10 * 24 * 3600
     files = spark.createDataFrame(
@@ -132,14 +200,22 @@ def test_state_machine(spark):
         "id long, folder_path string, path string, file_name string, file_hash string, size long, last_modified long, status string, retry_count int, updated_at long",
     )
     failed = {r.id: (r.status, r.retry_count) for r in state.record_failures(files, files.where("id in (1, 4)"), now).collect()}
-    assert failed[1] == ("failed", 3) and failed[4] == (None, 1) and failed[2] == ("missing", 0)
+    assert failed[1] == ("failed", 3) and failed[4] == ("pending", 1) and failed[2] == ("missing", 0)
     assert sorted(r.id for r in state.expire(files, now).collect()) == [1, 3, 4]
     assert {r.id for r in state.mark_missing(files, "/a", now).where("status = 'missing'").collect()} == {1, 2, 3, 4}
-    assert {r.path for r in state.rename(files, "/a", "/q").collect()} == {"/q/x", "/q/y", "/ab/z", "/q/n"}
+    folders = spark.createDataFrame([("/a", "missing", 1), ("/a/b", None, 1), ("/ab", "ignored", None)], "path string, status string, updated_at long")
+    dirs, moved = state.rename_tree(folders, files, "/a", "/q", now)
+    assert {(r.path, r.folder_path, r.updated_at == now) for r in moved.collect()} == {("/q/x", "/q", True), ("/q/y", "/q", True), ("/ab/z", "/ab", True), ("/q/n", "/q", True)}
+    assert {tuple(r) for r in dirs.collect()} == {("/q", "active", now), ("/q/b", "active", now), ("/ab", "ignored", None)}
+    one = {r.id: r for r in state.rename_file(files, "/a/x", "/k/new.txt", now).collect()}
+    assert (one[1].path, one[1].file_name, one[1].folder_path, one[1].status, one[1].updated_at) == ("/k/new.txt", "new.txt", "/k", "pending", now) and one[2].path == "/a/y"
     found = spark.createDataFrame([("/new/y", 2, 2, "h"), ("/new/z", 2, 2, "g")], "path string, size long, mtime long, hash string")
     assert [tuple(r) for r in state.ghosts(files, found).collect()] == [("/new/y", 2)]
     done = files.select("path", "folder_path", "file_name", "size", "last_modified", F.lit("k").alias("file_hash"))
     after, refused = state.upsert_active(files, done, now)
+    x = {r.path: r for r in after.collect()}["/a/x"]
+    assert (x.status, x.retry_count, x.file_hash, x.updated_at) == ("active", 2, "k", now)
+    assert [r.path for r in refused.where("path = '/a/x'").collect()] == []
     assert {r.path: r.status for r in after.collect()}["/a/x"] == "active" and sorted(r.path for r in refused.collect()) == ["/a/n", "/a/y", "/ab/z"]
 
 
@@ -195,6 +271,17 @@ def test_snapshots(spark):
     s.commit(a=spark.range(3), b=spark.range(2))
     s.commit(a=spark.range(5))
     assert (s.read("a").count(), s.read("b").count()) == (5, 2)
+    with pytest.raises(Conflict):
+        s.commit(after=1, a=spark.range(1))
+    tries = []
+
+    def change(tables):
+        tries.append(1)
+        if len(tries) == 1:
+            s.commit(b=spark.range(7))  # someone else is faster
+        return {"a": tables["b"]}
+
+    assert s.transform(change) == 4 and (s.read("a").count(), len(tries)) == (7, 2)
 
 
 def test_embedding(spark):
