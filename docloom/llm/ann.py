@@ -10,7 +10,8 @@ Which scores pass: the k-th best cosine of a query among sampled rows of its own
 k-th best among all rows, as is the floor. A code must reach the score that a vector at that cosine is expected to
 have, less FLOOR_DEVIATIONS deviations; the exact cosine decides. With a floor, no shortlist is cut: where more codes
 pass than it holds, the query is compared exactly with all vectors that passed in its cell, in blocks. shortlist=0 cuts
-nothing and lets everything in the probed cells through: with all cells probed that is exact search.
+nothing and lets everything in the probed cells through: with all cells probed that is exact search. Where a vector is
+kept in one cell only, it goes there itself beside its code, so that the exact cosines are computed in the cell.
 
 Defined results
 * Usable is a vector that is not null, has ``dim`` finite values and is not all zero; all others are left out.
@@ -41,7 +42,7 @@ SAMPLE_ROWS = 32_768
 MAX_COARSE = MAX_FINE = 2_048
 ROWS_PER_CELL = 256
 #: Queries, and codes, of one cell that a task takes at a time; cells expected to hold more are divided.
-CELL_BLOCK, CODE_BLOCK = 8_192, 131_072
+CELL_BLOCK, CODE_BLOCK = 8_192, 65_536
 #: Sampled rows of a cell from which its share of all rows is judged.
 LEAST_SHARE = 8
 #: Tables of at most so many rows may be broadcast; larger ones are joined by shuffle.
@@ -287,8 +288,8 @@ def _router(shared, dim: int, base_cells: int, query_cells: int, query_every: in
             base["along"], base["spread"] = _along(x, approx)
             for cell, pick in _groups(near.ravel(), np.repeat(np.arange(len(x)), near.shape[1])):
                 for part, some in _parted(ids, pick, index.code_parts[cell]):
-                    data = base[some].tobytes()
-                    out += [(cell, part * index.query_parts[cell] + b, 0, len(some), data, None) for b in range(index.query_parts[cell])]
+                    data, vecs = base[some].tobytes(), _pack(raw[some]) if base_cells == 1 else None
+                    out += [(cell, part * index.query_parts[cell] + b, 0, len(some), data, vecs) for b in range(index.query_parts[cell])]
             asked = np.flatnonzero(ids % query_every == 0)
             least = np.full(len(x), -1.0 if floor is None else floor, np.float32)
             if bounded:
@@ -321,30 +322,31 @@ def _groups(keys: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarra
         yield int(k[a]), rows[order[a:b]]
 
 
-CANDIDATE = "x_id long, q_id long, score float, cell int, blk int"
+CANDIDATE = "x_id long, q_id long, score double, cell int, blk int"
 
 
 def _candidates(x_ids, q_ids, scores=None, at=(None, None)) -> pa.RecordBatch:
     n = len(x_ids)
     return pa.record_batch(
-        [pa.array(x_ids, pa.int64()), pa.array(q_ids, pa.int64()), pa.array([None] * n if scores is None else scores, pa.float32()),
+        [pa.array(x_ids, pa.int64()), pa.array(q_ids, pa.int64()), pa.array([None] * n if scores is None else scores, pa.float64()),
          pa.array([at[0]] * n, pa.int32()), pa.array([at[1]] * n, pa.int32())],
         names=["x_id", "q_id", "score", "cell", "blk"],
     )
 
 
-def _scorer(shared, dim: int, shortlist: int, whole: bool):
+def _scorer(shared, dim: int, shortlist: int, whole: bool, k: int, floor: float | None):
     """Sorted packed rows of cells to candidate pairs, by asymmetric distance tables.
 
     Where more than shortlist codes pass for a query, the best are kept, or if whole, the query and all that passed for
     it come out as members of the cell's block (rows of only q_id or only x_id), to be compared exactly. shortlist=0
-    keeps all."""
+    keeps all. If the vectors came with their codes, all that are kept (with whole, all that passed) are compared here,
+    and the k best of a query in the cell come out with their cosines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
         record = _record(index.codebooks.shape[0])
         most = shortlist or 1 << 62
-        at, held, base, asking, passed = None, [], None, [], None
+        at, held, own, base, asking, passed, exact = None, [], [], None, [], None, None
 
         def crowded() -> Iterator[pa.RecordBatch]:
             if asking:
@@ -356,18 +358,21 @@ def _scorer(shared, dim: int, shortlist: int, whole: bool):
             for cell, blk, kind, n, data, vecs in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if (cell, blk) != at:
                     yield from crowded()
-                    at, held, base, asking = (cell, blk), [], None, []
+                    at, held, own, base, asking, exact = (cell, blk), [], [], None, [], None
                 if kind == 0:
                     held.append(np.frombuffer(data, record))
+                    own += [vecs] if vecs is not None else []
                     continue
                 if base is None:
                     if not held:
                         continue
                     base, held = np.concatenate(held), []
+                    exact, own = (np.concatenate([_unpack(v, dim) for v in own]) if own else None), []
                     columns = np.ascontiguousarray(base["code"].T)
                     along, spread = base["along"].astype(np.float32), base["spread"].astype(np.float32)
                     passed = np.zeros(len(base), bool)
-                who, vectors = np.frombuffer(data, _ASKED), unit(_unpack(vecs, dim))
+                who, raw = np.frombuffer(data, _ASKED), _unpack(vecs, dim)
+                vectors = unit(raw)
                 for i in range(0, n, 256):
                     tables, least = Tables(index, vectors[i : i + 256]), who["least"][i : i + 256]
                     drift = index.slack * np.sqrt(np.maximum(1 - least**2, 0))
@@ -387,6 +392,8 @@ def _scorer(shared, dim: int, shortlist: int, whole: bool):
                     other = ids[r] != base["id"][c]
                     r, c, score = r[other], c[other], score[other]
                     many = np.bincount(r, minlength=len(ids)) > most
+                    if exact is not None and whole:
+                        many[:] = False
                     if whole and many.any():
                         asking.append(ids[many])
                         passed[c[many[r]]] = True
@@ -398,6 +405,11 @@ def _scorer(shared, dim: int, shortlist: int, whole: bool):
                         first = np.flatnonzero(np.r_[True, np.diff(r) != 0])
                         short = np.arange(len(r)) - np.repeat(first, np.diff(np.r_[first, len(r)])) < most
                         r, c, score = r[short], c[short], score[short]
+                    if exact is not None:
+                        score = np.concatenate([_cosines(exact[c[j : j + 1024]].astype(np.float64), raw[i + r[j : j + 1024]].astype(np.float64)) for j in range(0, len(r), 1024)] or [np.zeros(0)])
+                        if floor is not None:
+                            r, c, score = r[score >= floor], c[score >= floor], score[score >= floor]
+                        r, c, score = _firsts(r, c, base["id"][c], score, k)
                     if len(r):
                         yield _candidates(base["id"][c], ids[r], score)
         yield from crowded()
@@ -405,6 +417,19 @@ def _scorer(shared, dim: int, shortlist: int, whole: bool):
     return run
 
 
+def _firsts(r: np.ndarray, c: np.ndarray, ids: np.ndarray, cos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each r, the k best of different ids, ties to the smaller id."""
+    order = np.lexsort((-cos, ids, r))
+    r, c, ids, cos = r[order], c[order], ids[order], cos[order]
+    new = np.r_[True, (np.diff(r) != 0) | (np.diff(ids) != 0)][: len(r)]
+    r, c, ids, cos = r[new], c[new], ids[new], cos[new]
+    order = np.lexsort((ids, -cos, r))
+    r, c, cos = r[order], c[order], cos[order]
+    first = np.flatnonzero(np.r_[True, np.diff(r) != 0][: len(r)])
+    best = np.arange(len(r)) - np.repeat(first, np.diff(np.r_[first, len(r)])) < k
+    return r[best], c[best], cos[best]
+
+
 class _Best:
     """Exact running k most similar (distinct ids, ties to the smaller) of each query of a block."""
 
@@ -505,6 +530,32 @@ def usable(emb: Column, dim: int) -> Column:
     return emb.isNotNull() & (F.size(emb) == dim) & fine & F.exists(emb, lambda v: v != 0)
 
 
+def _compared(passed: DataFrame, good: DataFrame, dim: int, k: int, floor: float | None, shortlist: int, whole: bool, query_cells: int, query_every: int) -> DataFrame:
+    """(q_id, x_id, cosine) of what passed, with the vectors fetched by their ids."""
+    crowded, cand = passed.where("cell is not null"), passed.where("cell is null").drop("cell", "blk")
+    dense = None
+    if whole and crowded.limit(1).count():
+        members = crowded.select("cell", "blk", F.col("q_id").isNull().cast("int").alias("kind"), F.coalesce("q_id", "x_id").alias("x_id"))
+        vecs = members.join(good, "x_id").select("cell", "blk", "kind", "x_id", "embedding")
+        vecs = vecs.repartition("cell", "blk").sortWithinPartitions("cell", "blk", "kind")
+        dense = materialize(vecs.mapInArrow(_exhaust(dim, k, floor), "q_id long, x_id long, cosine double"), "dense")
+    if query_cells > 1 and shortlist and not whole:
+        w = Window.partitionBy("q_id").orderBy(F.desc("score"), "x_id")
+        cand = cand.withColumn("place", F.row_number().over(w)).where(F.col("place") <= 2 * shortlist).drop("place")
+    cand = cand.select("x_id", "q_id")
+    if query_every == 1:
+        # Either side may have found a pair: it is compared once and counts for both.
+        cand = cand.select(F.least("x_id", "q_id").alias("x_id"), F.greatest("x_id", "q_id").alias("q_id"))
+    cand = materialize(cand.distinct(), "once")
+    release(passed)
+    wanted = cand.select(F.explode(F.array("x_id", "q_id")).alias("x_id")).distinct()
+    n = wanted.count()
+    look = good.join(F.broadcast(wanted), "x_id", "left_semi") if n <= BROADCAST_ROWS else good
+    both = cand.join(look.select("x_id", F.col("embedding").alias("x")), "x_id").join(look.select(F.col("x_id").alias("q_id"), F.col("embedding").alias("q")), "q_id")
+    pairs = both.select("x_id", "q_id", "x", "q").mapInArrow(_rerank(dim, floor), "q_id long, x_id long, cosine double")
+    return pairs.unionByName(dense) if dense is not None else pairs
+
+
 def similar(
     vectors: DataFrame,
     id_col: str,
@@ -522,7 +573,7 @@ def similar(
 
     Queries are the ids divisible by query_every. floor leaves out neighbours of a smaller cosine. base_cells is the
     number of cells that keep a vector's code, query_cells the number a query probes; shortlist is the number of codes
-    of a cell, and twice that of all cells, that are re-ranked for a query (0: all).
+    of a cell (and, if vectors are kept in several cells, twice that of all cells) that are re-ranked for a query (0: all).
     """
     if dim % subspaces:
         raise ValueError("dim must be a multiple of subspaces")
@@ -564,33 +615,10 @@ def similar(
     routed = src.mapInArrow(_router(shared, dim, base_cells, query_cells, query_every, floor, k, shortlist > 0), ROUTED)
     cells = routed.repartition("cell", "blk").sortWithinPartitions("cell", "blk", "kind")
     whole = floor is not None and shortlist > 0
-    cand = cells.mapInArrow(_scorer(shared, dim, shortlist, whole), CANDIDATE)
-    cand = passed = materialize(cand, "candidates")
-    crowded, cand = cand.where("cell is not null"), cand.where("cell is null").drop("cell", "blk")
-    dense = None
-    if whole and crowded.limit(1).count():
-        members = crowded.select("cell", "blk", F.col("q_id").isNull().cast("int").alias("kind"), F.coalesce("q_id", "x_id").alias("x_id"))
-        vecs = members.join(good, "x_id").select("cell", "blk", "kind", "x_id", "embedding")
-        vecs = vecs.repartition("cell", "blk").sortWithinPartitions("cell", "blk", "kind")
-        dense = materialize(vecs.mapInArrow(_exhaust(dim, k, floor), "q_id long, x_id long, cosine double"), "dense")
-    if query_cells > 1 and shortlist and not whole:
-        w = Window.partitionBy("q_id").orderBy(F.desc("score"), "x_id")
-        cand = cand.withColumn("place", F.row_number().over(w)).where(F.col("place") <= 2 * shortlist).drop("place")
-    mutual = query_every == 1
-    cand = cand.select("x_id", "q_id")
-    if mutual:
-        # Either side may have found a pair: it is compared once and counts for both.
-        cand = cand.select(F.least("x_id", "q_id").alias("x_id"), F.greatest("x_id", "q_id").alias("q_id"))
-    cand = materialize(cand.distinct(), "once")
-    release(passed)
-    wanted = cand.select(F.explode(F.array("x_id", "q_id")).alias("x_id")).distinct()
-    n = wanted.count()
-    look = good.join(F.broadcast(wanted), "x_id", "left_semi") if n <= BROADCAST_ROWS else good
-    both = cand.join(look.select("x_id", F.col("embedding").alias("x")), "x_id").join(look.select(F.col("x_id").alias("q_id"), F.col("embedding").alias("q")), "q_id")
-    pairs = both.select("x_id", "q_id", "x", "q").mapInArrow(_rerank(dim, floor), "q_id long, x_id long, cosine double")
-    if dense is not None:
-        pairs = pairs.unionByName(dense)
-    if mutual:
+    cand = cells.mapInArrow(_scorer(shared, dim, shortlist, whole, k, floor), CANDIDATE)
+    cand = materialize(cand, "candidates")
+    pairs = cand.select("q_id", "x_id", F.col("score").alias("cosine")) if base_cells == 1 else _compared(cand, good, dim, k, floor, shortlist, whole, query_cells, query_every)
+    if query_every == 1:
         pairs = materialize(pairs, "pairs")
         pairs = pairs.unionByName(pairs.select(F.col("x_id").alias("q_id"), F.col("q_id").alias("x_id"), "cosine"))
     found = pairs.select(F.col("q_id").alias("id"), F.col("x_id").alias("neighbour"), "cosine")
