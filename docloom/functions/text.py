@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the characters that a Unicode trim removes.
 SPACE_CLASS = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: The same for Python's patterns.
+SPACE_PATTERN = r"[\t\n\x0B\f\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 #: The patterns of words torn at the line ends of PDF pages.
 TORN_BY_HYPHEN = r"([a-zA-Z])-\n([a-zA-Z])"
 TORN_BY_LINE = r"([a-zA-Z])\n([a-zA-Z])"
@@ -108,7 +110,7 @@ def format_bytes(size: Column) -> Column:
     k = F.least(F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / F.log(F.lit(1024.0)) + 1e-12), F.lit(3)).cast("int")
     unit = F.element_at(F.array(*map(F.lit, ["B", "KB", "MB", "GB"])), k + 1)
     shown = F.format_string("%.1f", size.cast("double") / F.pow(F.lit(1024.0), k))
-    return F.when(size == 0, "0 B").otherwise(F.concat(shown, F.lit(" "), unit))
+    return F.when(size == 0, "0 B").when(size.isNotNull(), F.concat(shown, F.lit(" "), unit))
 
 
 def format_date(seconds: Column) -> Column:

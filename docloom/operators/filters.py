@@ -93,7 +93,7 @@ def target(name: Column, folder: Column, size: Column, root: str = "") -> Column
 
 
 def sniff(content: Column, strict_padding: bool = False) -> Column:
-    """Content type by the first 512 bytes: a known signature, else plain text or octet-stream; null for empty content.
+    """Content type by the first 512 bytes: a known signature, else plain text or octet-stream; null for empty and null content.
 
     strict_padding treats short contents as if NULs followed, which makes them binary.
     """
@@ -104,7 +104,7 @@ def sniff(content: Column, strict_padding: bool = False) -> Column:
     binary = latin.rlike(r"[\x00-\x08\x0B\x0E-\x1A\x1C-\x1F]")
     if strict_padding:
         binary = binary | (F.length(head) < SNIFF_BYTES)
-    out = F.when(F.length(head) == 0, F.lit(None).cast("string"))
+    out = F.when(F.coalesce(F.length(head), F.lit(0)) == 0, F.lit(None).cast("string"))
     out = out.when(text.rlike(rf"^<({'|'.join(TAGS)})[ >]"), "text/html; charset=utf-8").when(text.startswith("<?xml"), "text/xml; charset=utf-8")
     # Text rarely begins like any signature: one pattern tells, and only then is it asked which.
     known = F.lit(None).cast("string")

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from docloom.operators.incremental import Conflict, Manifests
 from docloom.runtime import remove
@@ -21,33 +22,40 @@ class Snapshots:
     def version(self) -> int:
         return self.manifests.current()["version"]
 
-    def tables(self) -> dict[str, str]:
+    def tables(self) -> dict[str, list[str]]:
+        """Of each table, the folders of its parts."""
         return dict(self.manifests.current().get("tables", {}))
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{self.tables()[name]}")
+        return self.read_all()[1][name]
 
     def read_all(self) -> tuple[int, dict[str, DataFrame]]:
         """A version and its tables, which belong together."""
         now = self.manifests.current()
-        return now["version"], {name: self.spark.read.parquet(f"{self.path}/{place}") for name, place in now.get("tables", {}).items()}
+        kinds = {name: StructType.fromJson(kind) for name, kind in now.get("kinds", {}).items()}
+        return now["version"], {name: self.spark.read.schema(kinds[name]).parquet(*[f"{self.path}/{p}" for p in parts]) for name, parts in now.get("tables", {}).items()}
 
-    def commit(self, after: int | None = None, **tables: DataFrame) -> int:
-        """Replace the given tables, keep the others; the new version's number. Nothing is visible before the manifest
-        is there. after: the version that the tables were made from (Conflict if it is no longer in force)."""
+    def commit(self, after: int | None = None, append: dict[str, DataFrame] | None = None, **tables: DataFrame) -> int:
+        """Replace the given tables, add parts to those of append, keep the others; the new version's number. Nothing is
+        visible before the manifest is there. after: the version that the tables were made from (Conflict if it is no
+        longer in force)."""
         old = self.manifests.current()
         if after is not None and old["version"] != after:
             raise Conflict(f"version {after} is no longer in force")
-        number, places, waste = old["version"] + 1, dict(old.get("tables", {})), dict(old.get("waste", {}))
-        new = {name: f"{name}-{number}-{uuid.uuid4().hex[:12]}" for name in tables}
+        number, parts, waste = old["version"] + 1, dict(old.get("tables", {})), dict(old.get("waste", {}))
+        kinds, new = dict(old.get("kinds", {})), []
         try:
-            for name, df in tables.items():
-                df.write.parquet(f"{self.path}/{new[name]}")
-                if name in places:
-                    waste[places[name]] = number
-            self.manifests.publish({"version": number, "tables": places | new, "waste": waste})
+            for name, df in [*tables.items(), *(append or {}).items()]:
+                new.append(f"{name}-{number}-{uuid.uuid4().hex[:12]}")
+                df.write.parquet(f"{self.path}/{new[-1]}")
+                if name in tables:
+                    waste |= dict.fromkeys(parts.get(name, []), number)
+                    parts[name], kinds[name] = [new[-1]], df.schema.jsonValue()
+                else:
+                    parts[name], kinds[name] = [*parts.get(name, []), new[-1]], kinds.get(name, df.schema.jsonValue())
+            self.manifests.publish({"version": number, "tables": parts, "kinds": kinds, "waste": waste})
         except BaseException:
-            for place in new.values():
+            for place in new:
                 remove(self.spark, f"{self.path}/{place}")
             raise
         return number

@@ -20,6 +20,8 @@ from docloom.operators.incremental import ChangeState, Conflict, content_hash, c
 from docloom.operators.orphans import Reference, orphans, runs
 from docloom.runtime import materialize, scratch, work_path
 from docloom.sources import listing, office
+from docloom.plans import text_queries
+from docloom.sources import pdf
 from docloom.sources.snapshots import Snapshots
 from docloom.streaming import events
 
@@ -295,3 +297,81 @@ def test_places_of_tied_matches(spark):
     rows = [(i * 40_000, -float(i % 3)) for i in range(30)] + [(7, -1.0)]
     got = {r.chunk_id: r.rank_fts for r in search.numbered(spark.createDataFrame(rows, "chunk_id long, rank double")).collect()}
     assert got == {c: k for k, (c, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])), 1)}
+
+
+def _little_corpus(spark):
+    chunks = spark.createDataFrame(
+        [(1, "h1", 0, "The red fox. Red fox!"), (2, "h1", 1, "a blue whale"), (3, "h2", 0, "Fóx, red; fox"), (4, "h3", 0, None), (5, "h4", 0, ""), (3, "h2", 0, "Fóx, red; fox")],
+        "id long, document_hash string, chunk_index int, content string",
+    )
+    files = spark.createDataFrame([("/a", "a.txt", "h1"), ("/b", "b.txt", "h1"), ("/c", "c.txt", "h2"), ("/d", "d.txt", None)], "path string, file_name string, file_hash string")
+    vectors = embed.embed(chunks.distinct(), "id", "content").select(F.col("id").alias("chunk_id"), "embedding")
+    return vectors, chunks, files
+
+
+def test_search_call(spark):
+    v, c, f = _little_corpus(spark)
+    got = [tuple(r) for r in search.search(v, c, f, '  "Red" fox ').collect()]
+    assert got[0] in {("/a", "a.txt"), ("/c", "c.txt")} and set(got) == {("/a", "a.txt"), ("/b", "b.txt"), ("/c", "c.txt")}
+    assert [r.file_path for r in search.search(v, c, f, "a blue whale", hybrid=False).collect()] == ["/a", "/b"]
+    for blank in (None, "", " \u3000\n"):
+        assert search.search(v, c, f, blank).count() == 0
+    assert search.search(v, c, f, "?!").count() == 3  # no word: the nearest chunks only
+    assert search.search(v.limit(0), c.limit(0), f, "fox").count() == 0
+
+
+def test_batch_search_is_search_for_each(spark):
+    v, c, f = _little_corpus(spark)
+    texts = {1: "red fox", 2: '"fox red"', 3: "", 4: None, 5: "...", 6: "whale", 7: "a blue whale"}
+    vec = embed.hashing([t or "x" for t in texts.values()]).tolist()
+    q = spark.createDataFrame([(i, t, e, False if i == 7 else None if i == 6 else True) for (i, t), e in zip(texts.items(), vec)], "query_id long, query_text string, embedding array<float>, hybrid boolean")
+    got = search.search_batch(v, c, f, q, 384).collect()
+    assert {r.query_id for r in got} == {1, 2, 5, 6, 7}
+    for i in (1, 2, 5, 6):
+        phrase = search.phrases_of(q.where(F.col("query_id") == i)).first()
+        one = search.hybrid_search(v, c, f, vec[i - 1], 384, phrase["phrase"] if phrase else []).collect()
+        assert {tuple(r) for r in one} == {tuple(r)[1:] for r in got if r.query_id == i}
+        assert [tuple(r) for r in one] == sorted(map(tuple, one), key=lambda r: (-r[4], r[0], r[2]))
+    assert {(r.chunk_id, r.file_path, r.combined_score) for r in got if r.query_id == 7} == {(2, "/a", 1.0), (2, "/b", 1.0)}
+
+
+def test_nearest_in_blocks_and_with_repeated_ids(spark, monkeypatch):
+    rng = __import__("numpy").random.default_rng(2)
+    x = rng.normal(size=(500, 8)).astype("float32")
+    x[100:120] = x[0]
+    rows = [(i // 2, v.tolist()) for i, v in enumerate(x)] + [(999, None), (None, x[0].tolist()), (998, [0.0] * 8), (997, [float("nan")] * 8), (996, [1.0])]
+    v = spark.createDataFrame(rows, "chunk_id long, embedding array<float>").repartition(3)
+    q = spark.createDataFrame([(i, x[i].tolist()) for i in range(40)] + [(77, None)], "query_id long, embedding array<float>")
+    monkeypatch.setattr(search, "QUERY_BLOCK", 16)
+    got = {}
+    for r in search.knn_batch(v, q, 8, k=5).orderBy("query_id", "distance", "chunk_id").collect():
+        got.setdefault(r.query_id, []).append(r.chunk_id)
+    for i in range(40):
+        best = {}
+        for j, d in enumerate(((x.astype("float64") - x[i].astype("float64")) ** 2).sum(1).tolist()):
+            best[j // 2] = min(d, best.get(j // 2, d))
+        assert got[i] == sorted(best, key=lambda j: (best[j], j))[:5]
+
+
+def test_paths_and_formats(spark):
+    clean = {"": ".", "/": "/", "//a//b/": "/a/b", "a/./b/..": "a", "../x/../..": "../..", "/../a": "/a", "C:\\x\\..\\y\\": "C:\\y", "a/../..": "..", "./": "."}
+    rows = spark.createDataFrame([(k,) for k in clean], "p string")
+    assert {r[0]: r[1] for r in rows.select("p", T.clean_path(F.col("p"))).collect()} == clean
+    sizes = spark.createDataFrame([(0,), (1,), (1023,), (1024,), (1536,), (1048576,), (3 * 1024**4,), (None,)], "n long")
+    assert [r[0] for r in sizes.select(T.format_bytes(F.col("n"))).collect()] == ["0 B", "1.0 B", "1023.0 B", "1.0 KB", "1.5 KB", "1.0 MB", "3072.0 GB", None]
+    times = spark.createDataFrame([(1704467096,), (0,), (None,)], "n long")
+    assert [r[0] for r in times.select(T.format_date(F.col("n"))).collect()] == ["Jan 5, 2024, 03:04 PM", "—", "—"]
+    back = spark.createDataFrame([([1.5, -2.0],), (None,)], "v array<float>").select(V.from_json(V.to_json(F.col("v")))).collect()
+    assert back[0][0] == [1.5, -2.0] and back[1][0] is None
+
+
+def test_pdf_reader():
+    body = b"BT /F1 12 Tf 72 700 Td (Hello \\(World\\)) Tj 0 -14 Td [(Sec)-10(ond)-300(line)] TJ T* (\\344) Tj ET"
+    parts = [b"<</Type/Catalog/Pages 2 0 R>>", b"<</Type/Pages/Kids[3 0 R 6 0 R]/Resources<</Font<</F1 5 0 R>>>>>>", b"<</Type/Page/Parent 2 0 R/Contents 4 0 R>>",
+             b"<</Length %d>>stream\n%b\nendstream" % (len(body), body), b"<</Type/Font/Subtype/Type1>>", b"<</Type/Page/Parent 2 0 R/Contents 7 0 R>>", b"<</Filter/LZWDecode/Length 1>>stream\nx\nendstream"]
+    data = b"%PDF-1.4\n" + b"".join(b"%d 0 obj%b endobj\n" % (i, p) for i, p in enumerate(parts, 1)) + b"trailer<</Root 1 0 R>>"
+    assert pdf.pages(data) == ["Hello (World)\nSecond line\n\u00e4", None]
+    assert office.extract("a.pdf", data) == ("Hello (World)Second line \u00e4", None)
+    assert "encrypted" in office.extract("a.pdf", data.replace(b"/Root 1 0 R", b"/Root 1 0 R/Encrypt 9 0 R"))[1]
+    assert office.extract("a.pdf", text_queries._as_pdf("wor-\nd \U0001f600\n\nzwei\x0cthree"))[0] == "word \U0001f600 zwei three"
+    assert office.extract("a.pdf", b"text")[1].startswith("unreadable") and office.extract("a.txt", b"x" * (office.LONGEST_LINE + 1))[1]
