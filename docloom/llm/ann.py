@@ -193,31 +193,22 @@ def _along(x: np.ndarray, approx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Tables:
-    """Asymmetric distance tables of some queries: of each, the products with all codewords, as 8-bit steps above the
-    least of their group, and the products with the centroids of the cells that codes refer to. A score is the sum of
-    the entries that a code names; it is off by few steps."""
+    """Asymmetric distance tables of some queries: of each, the products with all codewords, and those with the
+    centroids of the cells that codes refer to. A score is the sum of the entries that a code names; the entries of all
+    queries for one codeword lie side by side, so that a look-up serves them all."""
 
     def __init__(self, index: Index, q: np.ndarray):
         m, _, sub = index.codebooks.shape
-        t = np.matmul(index.codebooks, q.reshape(len(q), m, sub).transpose(1, 2, 0))
-        low = t.min(1, keepdims=True)
-        t -= low
-        self.step = np.maximum(t.max((0, 1)), 1e-9) / 255
-        self.low = low.sum((0, 1))
-        self.entries = np.rint(t / self.step).astype(np.uint8).astype(np.uint16)
-        self.error = 3 * self.step * np.sqrt(m / 12)
+        self.entries = np.matmul(index.codebooks, q.reshape(len(q), m, sub).transpose(1, 2, 0))
         self.index, self.q = index, q
 
     def scores(self, code: np.ndarray, home: np.ndarray) -> np.ndarray:
         """(codes, queries): the scores of codes by columns (subspaces, codes)."""
-        total = np.zeros((code.shape[1], len(self.q)), np.uint16)
-        named = np.empty_like(total)
-        for entries, column in zip(self.entries, code):
-            np.add(total, np.take(entries, column, axis=0, out=named, mode="clip"), out=total)
         cells, which = np.unique(home, return_inverse=True)
-        out = total.astype(np.float32)
-        out *= self.step
-        out += (self.index.centroid(cells) @ self.q.T + self.low)[which]
+        out = (self.index.centroid(cells) @ self.q.T)[which]
+        named = np.empty_like(out)
+        for entries, column in zip(self.entries, code):
+            out += np.take(entries, column, axis=0, out=named, mode="clip")
         return out
 
 
@@ -377,12 +368,12 @@ def _scorer(shared, dim: int, shortlist: int, whole: bool, k: int, floor: float
                     tables, least = Tables(index, vectors[i : i + 256]), who["least"][i : i + 256]
                     drift = index.slack * np.sqrt(np.maximum(1 - least**2, 0))
                     rows, cols, reached = [], [], []
-                    for a in range(0, len(base), 2048):
-                        part = slice(a, a + 2048)
+                    for a in range(0, len(base), 512):
+                        part = slice(a, a + 512)
                         score = tables.scores(columns[:, part], base["home"][part])
                         ok = np.ones(score.shape, bool)
                         if (least > -1).any():
-                            ok = score >= along[part, None] * least - spread[part, None] * drift - tables.error
+                            ok = score >= along[part, None] * least - spread[part, None] * drift
                         c, r = np.nonzero(ok)
                         rows.append(r)
                         cols.append(a + c)
