@@ -75,7 +75,7 @@ def p8_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    found = quality.judge(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "doc_labels"), "doc_id", "kind")
+    found = quality.judge(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "doc_labels"), "doc_id", "kind", "lang")
     return found.where("rule > 0").select(F.col("id").alias("doc_id"))
 
 

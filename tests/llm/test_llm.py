@@ -413,3 +413,41 @@ def test_case_expression(spark):
     rules = [[(0, True, 0.5), (1, False, 2.0)], [(1, True, 3.0)]]
     rows = spark.createDataFrame([(0.6, 1.0), (0.6, 4.0), (0.1, 1.0)], "a double, b double")
     assert [r[0] for r in rows.select(F.expr(quality.case_expression(rules, ["a", "b"]))).collect()] == [1, 2, 0]
+
+
+def test_statistics_in_batches_are_those_of_sql(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").where("text is not null")
+    docs = docs.unionByName(spark.createDataFrame([(-1, "One two. Three!\r\n\n  x_1 = 5 　"), (-2, "é" * 5000), (-3, "?"), (-4, "a\r\rb c")], "doc_id long, text string"))
+    want = {r.doc_id: tuple(r)[1:5] for r in quality.statistics(docs, "doc_id", "text").collect()}
+    none = spark.createDataFrame([], "doc_id long, kind string")
+    got = {r.id: (int(r.word_count), *(round(r[f], 6) for f in ("mean_word_length", "symbol_ratio", "line_end_ratio"))) for r in quality.judge(docs, "doc_id", "text", none, "doc_id", "kind").collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=2e-6) for i in want)
+
+
+def test_lines_and_windows():
+    text = "- first item here\n1. second\n[x] third\na) fourth\nmany plain words in a line, with one comma\nname: value\nkey = 5\nname two: value\na|b|c|d\n" + "again\n" * 4 + "x" * 40 + "\nshort. Same. Same. Same.\n"
+    t = quality._Texts([text, "other"])
+    own, lines = t.lines
+    held = text.split("\n")
+    of = lambda key: [held[i] for i in np.flatnonzero(lines[key]) if i < len(held)]
+    assert of("marked") == ["- first item here", "1. second", "[x] third", "a) fourth"]
+    assert of("named") == ["name: value", "key = 5"] and of("cells") == ["a|b|c|d"] and of("ended") == ["short. Same. Same. Same."]
+    assert lines["times"][held.index("again")] == 4 and lines["times"][0] == 1
+    assert sorted(set(quality._sentences(t)[1].tolist())) == [0, 1, 3, 4]
+    words = [t.points[a:b] for a, b in zip(t.start, t.stop)]
+    assert "".join(chr(c) for w in words[:4] for c in w) == "-firstitemhere" and t.is_word[:4].tolist() == [False, True, True, True]
+    which, weight, x = quality.windows_of(t, quality.Words(), np.zeros((8, 8)))
+    assert set(which.tolist()) == {0, 1} and x.shape[1] == len(quality.WINDOWED) and abs(weight.sum() - len(text) - 5) <= 2
+
+
+def test_pieces_of_long_texts_add_up(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "word one two. " * 500 + "\n- item\n" * 300)], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, kind string")
+    whole = quality.judge(docs, "doc_id", "text", none, "doc_id", "kind").first()
+    # The workers' own pieces, cut here as they would be there.
+    monkeypatch.setattr(quality, "PIECE", 100)
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array([1]), pa.array([docs.first().text])], names=["id", "t"])
+    sums = sum(quality._statistics_of(t, quality.Words()).sum(0) for _, t in quality._groups_of(batch, 1))
+    assert abs(sums[0] - whole.word_count) <= len(docs.first().text) / 100 and sums[3] == len(docs.first().text)
