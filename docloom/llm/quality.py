@@ -539,7 +539,7 @@ def judge(documents: DataFrame, id_col: str, text_col: str, labels: DataFrame, l
     ship_package(spark)
     lang = F.lower(F.substring(F.coalesce(F.col(lang_col).cast("string"), F.lit("")), 1, 2)) if lang_col else F.lit("")
     rows = documents.select(F.col(id_col).cast("long").alias("id"), lang.alias("lang"), F.col(text_col).cast("string").alias("t"))
-    rows = rows.where("id is not null and t is not null").where(F.length(F.regexp_replace("t", _SPACE, "")) > 0)
+    rows = rows.where("id is not null and t is not null").where(F.col("t").rlike(f"[^{_SPACE[1:]}"))
     known = labels.select(F.col(label_id).cast("long").alias("id"), F.col(label).alias("kind")).where("id is not null and kind in ('prose', 'list', 'table', 'junk')")
     known = materialize(known.distinct().orderBy(F.xxhash64("id", "kind"), "id", "kind").limit(LABELLED_ROWS).select("id", "kind"), "labelled")
     words = word_tables(rows)
