@@ -351,7 +351,7 @@ def test_suffixes_and_search():
     rng = np.random.default_rng(0)
     seq = np.r_[rng.integers(1, 4, 400), 0]
     assert leakage.suffix_array(seq).tolist() == sorted(range(len(seq)), key=lambda i: seq[i:].tolist())
-    index = leakage.FMIndex(seq)
+    index = leakage.FMIndex.of(seq)
     rows = rng.integers(1, 5, (50, 4))
     live, lo, hi = index.search(rows)
     for k, row in enumerate(rows):
@@ -378,6 +378,37 @@ def test_leaks(spark):
     assert leakage.leaked_spans(docs, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
 
 
+def test_one_index_serves_many_searches_in_passes(spark, monkeypatch):
+    rnd = random.Random(8)
+    words = [f"v{i}" for i in range(400)]
+    docs = {i: [rnd.choice(words) for _ in range(rnd.randint(0, 300))] for i in range(60)}
+    docs[61] = [rnd.choice(words) for _ in range(5000)]
+    items = {100 + i: docs[rnd.randrange(60)][5:30] + [rnd.choice(words)] * 3 for i in range(20)} | {200: docs[61][1000:1040], 201: docs[61][4900:]}
+    monkeypatch.setattr(leakage, "PASS_CHARS", 300)
+    corpus = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    index = leakage.materialize(leakage.build_index(corpus, "doc_id", "text"), "test-index")
+    grams = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    for size in (12, 5):
+        truth = {(d, i) for d, w in docs.items() for i, v in items.items() if grams(w, size) & grams(v, size)}
+        assert {(r.doc_id, r.item_id) for r in leakage.search_index(index, asked, "item_id", "text", size).collect()} == truth
+    with pytest.raises(ValueError):
+        leakage.search_index(index, asked, "item_id", "text", leakage.OVERLAP + 2)
+
+
+def test_parts_of_a_long_document_share_words():
+    import pyarrow as pa
+
+    words = [f"w{i % 977}x{i}" for i in range(leakage.SHARD_WORDS + 500)]
+    batch = pa.record_batch([pa.array([7]), pa.array([" ".join(words)])], names=["doc_id", "text"])
+    rows = [r for b in leakage._indexed(iter([batch])) for r in b.to_pylist()]
+    a = leakage.SHARD_WORDS
+    phrases = leakage.Phrases([(1, " ".join(words[a - 30 : a + 30])), (2, " ".join(words[-12:])), (3, " ".join(words[-11:]))], 12)
+    spans = {(s["item_id"], s["first_word"], s["last_word"]) for r in rows if (b := leakage._spans_of(r, phrases)) for s in b.to_pylist()}
+    # The whole passage lies in the first part, which reaches OVERLAP words further, and partly in the second.
+    assert len(rows) == 2 and spans == {(1, a - 30, a + 29), (1, a, a + 29), (2, len(words) - 12, len(words) - 1)}
+
+
 def test_normal_words():
     assert leakage.normal_words("Ünï-\n  ted ﬁne x² Straße a-\nb c- d") == ["united", "fine", "x2", "strasse", "ab", "c", "d"]
     assert leakage.normal_words(unicodedata.normalize("NFD", "Café")) == ["cafe"]
