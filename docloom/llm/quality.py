@@ -47,7 +47,7 @@ LABELLED_ROWS, LABELLED_WINDOWS = 20_000, 60_000
 COMMON, PAIRED, KNOWN = 100, 1_000, 12_000
 LEAST_SHARE = 0.001
 #: Tokens of a window; characters of a piece, and of the texts that are looked at together.
-WINDOW, PIECE = 24, 4_000_000
+WINDOW, PIECE, TOGETHER = 24, 4_000_000, 1_500_000
 _KEEP = r"[\p{L}\p{N}" + _SPACE[1:]
 
 
@@ -69,7 +69,7 @@ def statistics(documents: DataFrame, id_col: str, text_col: str, common: int = C
     words = F.filter(F.split("t", f"{_SPACE}+"), lambda w: w != "")
     lines = F.filter(F.split("t", r"\r\n|\n|\r"), lambda s: F.length(F.regexp_replace(s, _SPACE, "")) > 0)
     own = letters(F.col("t"))
-    rows = rows.where(F.col(id_col).isNotNull() & F.col("t").isNotNull()).where(F.length(F.regexp_replace("t", _SPACE, "")) > 0)
+    rows = rows.where(F.col(id_col).isNotNull() & F.col("t").isNotNull()).where(F.col("t").rlike(f"[^{_SPACE[1:]}"))
     ended = F.filter(lines, lambda s: s.rlike(rf"[.!?…:;]{_SPACE}*$"))
     return rows.select(
         id_col,
@@ -211,7 +211,7 @@ def _groups_of(batch: pa.RecordBatch, column: int) -> Iterator[tuple[np.ndarray,
     for row, text in enumerate(batch.column(column).to_pylist()):
         for a in range(0, len(text), PIECE):
             piece = text[a : a + PIECE]
-            if held and size + len(piece) > PIECE:
+            if held and size + len(piece) > TOGETHER:
                 yield np.array(rows), _Texts(held)
                 rows, held, size = [], [], 0
             rows.append(row)
