@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions.text import SPACE_CLASS as _SPACE
 from docloom.llm import ann, fusion, leakage, neardup, quality, splitting, tokenizer
 from docloom.runtime import table
 
@@ -44,7 +45,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 def p4_knn(spark: SparkSession, sf: str) -> DataFrame:
     """The ten most similar vectors of every chunk whose id is divisible by 50, against all."""
     near = ann.similar(table(spark, sf, "vec_chunks"), "chunk_id", "embedding", k=10, base_cells=1, query_cells=48, query_every=50, shortlist=64, subspaces=96)
-    return near.select(F.col("id").alias("chunk_id"), "neighbour", "cosine", "rank")
+    return near.select(F.col("id").alias("chunk_id"), "neighbour", F.round("cosine", 6).alias("cosine"), "rank")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,7 +86,6 @@ def p9_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_borda, p3_found, p3_pieces, p4_found, p4_knn, p5_found, p5_groups, p7_ids, p8_found, p8_spans, p9_found, p9_stats)}
 
-_SPACE = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _KEEP = r"[\p{L}\p{N}" + _SPACE[1:]
 _LISTS = """lists AS (
 SELECT 0 AS l, query_id, chunk_id, distance AS v FROM vec_hits UNION ALL SELECT 1, query_id, chunk_id, rank FROM fts_chunks
@@ -97,7 +97,23 @@ sizes AS (SELECT query_id, count(*) AS u FROM items GROUP BY ALL),
 points AS (SELECT i.query_id, i.chunk_id, i.good, sum(CASE WHEN r.r IS NULL THEN (u - coalesce(c.n, 0) - 1) / 2.0 ELSE u - (r.r + (r.ties - 1) / 2.0) END) AS points
 FROM items i JOIN sizes USING (query_id) CROSS JOIN (VALUES (0), (1), (2)) t(l) LEFT JOIN ranked r ON r.l = t.l AND r.query_id = i.query_id AND r.chunk_id = i.chunk_id
 LEFT JOIN (SELECT DISTINCT l, query_id, n FROM ranked) c ON c.l = t.l AND c.query_id = i.query_id GROUP BY ALL)"""
+# Brute force over all pairs: for small tables only.
+_COSINES = """vec AS (SELECT DISTINCT chunk_id, embedding::DOUBLE[384] AS e FROM vec_chunks WHERE chunk_id IS NOT NULL AND len(embedding) = 384
+AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+cosines AS (SELECT a.chunk_id AS id, b.chunk_id AS neighbour, max(array_cosine_similarity(a.e, b.e)) AS cosine FROM vec a, vec b WHERE a.chunk_id <> b.chunk_id {extra} GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(cosine, 12) DESC, neighbour) AS rank FROM cosines QUALIFY rank <= 10)"""
+_BIGRAMS = r"""w AS (SELECT id, list_filter(regexp_split_to_array(lower(min(content)), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM chunks WHERE id IS NOT NULL AND content IS NOT NULL GROUP BY id),
+s AS (SELECT id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS s FROM w), g AS (SELECT id, len(s) AS n, unnest(s) AS g FROM s WHERE len(s) >= 80),
+pairs AS (SELECT a.id AS id_a, b.id AS id_b FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n HAVING count(*) >= 0.6 * (a.n + b.n - count(*)) - 1e-9)"""
+# Words without case and accents; the compatibility characters that the texts hold are replaced one by one.
+_PLAIN = r"strip_accents(lower(replace(replace(replace(replace(replace(replace(replace(regexp_replace({t}, '(\p{{L}}\p{{M}}*)[-‐‑­][\t\x0B\f \x{{A0}}]*(\r\n|\n|\r)\s*(\p{{L}})', '\1\3', 'g'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬀ', 'ff'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), 'ß', 'ss'), 'ẞ', 'ss')))"
+_GRAMS = r"{n} AS (SELECT {id}, list_filter(regexp_split_to_array({plain}, '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM {t} WHERE {id} IS NOT NULL AND text IS NOT NULL), {n}g AS (SELECT DISTINCT {id}, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT {id}, w, unnest(range(1, len(w) - 10)) AS i FROM {n}))"
+_LEAKS = ", ".join(_GRAMS.format(n=n, id=i, t=t, plain=_PLAIN.format(t="text")) for n, i, t in (("d", "doc_id", "documents"), ("e", "item_id", "eval_items")))
 ORACLE = {
+    "p4_found": f"WITH {_COSINES.format(extra='')} SELECT DISTINCT least(id, neighbour) AS id_a, greatest(id, neighbour) AS id_b FROM best WHERE cosine >= 0.8",
+    "p4_knn": f"WITH {_COSINES.format(extra='AND a.chunk_id % 50 = 0')} SELECT id AS chunk_id, neighbour, round(cosine, 6) AS cosine, CAST(rank AS INT) AS rank FROM best",
+    "p5_found": f"WITH {_BIGRAMS} SELECT id_a, id_b FROM pairs",
+    "p8_found": f"WITH {_LEAKS} SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)",
     "p2_found": f"WITH {_LISTS} SELECT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, chunk_id) AS k FROM points WHERE good >= 2) WHERE k <= 10",
     "p2_borda": f"WITH {_LISTS} SELECT query_id, chunk_id, CAST(points AS DOUBLE) AS points FROM points",
     "p3_found": rf"""SELECT DISTINCT id AS chunk_id, reason FROM (
