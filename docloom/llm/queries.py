@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import SPACE_CLASS as _SPACE
 from docloom.llm import ann, fusion, leakage, neardup, quality, splitting, tokenizer
-from docloom.runtime import table
+from docloom.runtime import materialize, table
 
 
 def _lists(spark: SparkSession, sf: str) -> list[fusion.Scores]:
@@ -33,9 +33,18 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
-    """All chunks in pieces of at most 800 characters."""
-    rows = table(spark, sf, "chunks").select("id", "content").distinct()
-    return splitting.split_oversized(rows, "id", "content").select(F.col("id").alias("chunk_id"), "chunk_index", "content")
+    """All chunks in pieces of at most 800 characters, numbered anew within their documents."""
+    rows = table(spark, sf, "chunks").where("id is not null").select("id", "document_hash", "chunk_index", "content")
+    # One row for each id: only the texts of ids that have several are shuffled.
+    again = materialize(rows.groupBy("id").count().where("count > 1").select("id"), "again")
+    again = F.broadcast(again) if again.count() <= splitting.BROADCAST_ROWS else again
+    several = rows.join(again, "id", "left_semi").groupBy("id").agg(F.min(F.struct(F.col("document_hash").isNull().alias("z"), "document_hash", "chunk_index", "content")).alias("m"))
+    several = materialize(several.select("id", "m.document_hash", "m.chunk_index", "m.content"), "several")
+    texts = rows.join(again, "id", "left_anti").unionByName(several)
+    first = texts.select("id", "document_hash", "chunk_index")
+    pieces = splitting.split_oversized(texts, "id", "content")
+    out = splitting.renumbered(pieces, first, "id", "document_hash", "chunk_index")
+    return out.select("document_hash", "chunk_index", F.col("id").alias("chunk_id"), "content")
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,6 +122,14 @@ ORACLE = {
     "p4_found": f"WITH {_COSINES.format(extra='')} SELECT DISTINCT least(id, neighbour) AS id_a, greatest(id, neighbour) AS id_b FROM best WHERE cosine >= 0.8",
     "p4_knn": f"WITH {_COSINES.format(extra='AND a.chunk_id % 50 = 0')} SELECT id AS chunk_id, neighbour, round(cosine, 6) AS cosine, CAST(rank AS INT) AS rank FROM best",
     "p5_found": f"WITH {_BIGRAMS} SELECT id_a, id_b FROM pairs",
+    "p5_groups": f"""WITH RECURSIVE {_BIGRAMS}, c AS (SELECT id, min(id) OVER (PARTITION BY list_sort(s)) AS rep FROM s WHERE len(s) >= 80),
+links AS (SELECT id_a AS a, id_b AS b FROM pairs WHERE id_a IN (SELECT rep FROM c) AND id_b IN (SELECT rep FROM c)), edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT DISTINCT rep AS v, rep AS w FROM c UNION SELECT v, b FROM reach JOIN edges ON a = w)
+SELECT id, (SELECT min(w) FROM reach WHERE v = rep) AS group_id, (SELECT count(*) FROM edges WHERE a = rep) AS links FROM c""",
+    "p8_spans": f"""WITH {_LEAKS}, hits AS (SELECT DISTINCT doc_id, item_id, i FROM (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS g, i - 1 AS i FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)) JOIN eg USING (g)),
+marks AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id, item_id ORDER BY i) <= 12 THEN 0 ELSE 1 END AS new FROM hits),
+islands AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, item_id ORDER BY i) AS k FROM marks)
+SELECT doc_id, item_id, min(i) AS first_word, max(i) + 11 AS last_word FROM islands GROUP BY doc_id, item_id, k""",
     "p8_found": f"WITH {_LEAKS} SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)",
     "p2_found": f"WITH {_LISTS} SELECT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, chunk_id) AS k FROM points WHERE good >= 2) WHERE k <= 10",
     "p2_borda": f"WITH {_LISTS} SELECT query_id, chunk_id, CAST(points AS DOUBLE) AS points FROM points",

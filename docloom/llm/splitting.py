@@ -9,7 +9,9 @@ Defined results
 * Lengths are code points; white space is Unicode's White_Space. Pieces are the text's own characters, untrimmed.
 * An item within the limit is one piece; an empty text is one empty piece; a null text or id gives none.
 * A cut inside a run without white space is made only where such a run is longer than the limit; it is marked hard.
-* Pieces are numbered from 0 within their item. Equal rows give equal pieces twice.
+* Pieces are numbered from 0 within their item. Equal rows give equal pieces twice. renumbered() numbers them anew
+  within a document, in the order of its items.
+* Texts of 2**24 characters and more are cut like others; strengths and places are kept in one 64-bit number.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.runtime import ship_package
+from docloom.runtime import materialize, ship_package
 
 BLOCK = 1 << 16
 #: Fixed value: the Unicode White_Space characters.
@@ -33,7 +35,7 @@ class RangeMax:
 
     def __init__(self, strength: np.ndarray, base: int, widest: int):
         self.base = base
-        level = (strength.astype(np.int32) << 24) | np.arange(len(strength), dtype=np.int32)
+        level = (strength.astype(np.int64) << 32) | np.arange(len(strength), dtype=np.int64)
         self.levels = [level]
         step = 1
         while 2 * step <= min(widest, len(strength)):
@@ -46,7 +48,7 @@ class RangeMax:
         k = (high - low + 1).bit_length() - 1
         level = self.levels[k]
         key = max(int(level[low - self.base]), int(level[high - self.base - (1 << k) + 1]))
-        return key >> 24, (key & 0xFFFFFF) + self.base
+        return key >> 32, (key & 0xFFFFFFFF) + self.base
 
 
 def strengths(points: np.ndarray) -> np.ndarray:
@@ -96,7 +98,7 @@ def split(points: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int,
 PIECES = "k long, piece_index int, content string, start_at int, end_at int, hard boolean"
 
 
-def _pieces(limit: int, overlap: int, texts: bool):
+def _pieces(limit: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
@@ -104,7 +106,7 @@ def _pieces(limit: int, overlap: int, texts: bool):
                 text = text.as_py()
                 points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
                 for i, (a, b, hard) in enumerate(split(points, limit, overlap)):
-                    rows.append((key, i, text[a:b] if texts else None, a, b, hard))
+                    rows.append((key, i, text[a:b], a, b, hard))
             if rows:
                 kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.bool_()]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["k", "piece_index", "content", "start_at", "end_at", "hard"])
@@ -112,7 +114,7 @@ def _pieces(limit: int, overlap: int, texts: bool):
     return run
 
 
-def split_oversized(items: DataFrame, id_col: str, text_col: str, limit: int = 800, overlap: int = 100, texts: bool = True, whole: bool = True) -> DataFrame:
+def split_oversized(items: DataFrame, id_col: str, text_col: str, limit: int = 800, overlap: int = 100, whole: bool = True) -> DataFrame:
     """Pieces (id, chunk_index, content, start_at, end_at, hard) of every item; whole=False leaves out items within the limit.
 
     Items within the limit never leave the JVM.
@@ -121,15 +123,40 @@ def split_oversized(items: DataFrame, id_col: str, text_col: str, limit: int = 8
         raise ValueError("the limit must be positive and the overlap smaller")
     ship_package(items.sparkSession)
     rows = items.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")).where("k is not null and t is not null")
-    out = rows.where(F.length("t") > limit).mapInArrow(_pieces(limit, overlap, texts), PIECES)
+    out = rows.where(F.length("t") > limit).mapInArrow(_pieces(limit, overlap), PIECES)
     if whole:
         short = rows.where(F.length("t") <= limit).select("k", F.lit(0).alias("piece_index"), F.col("t").alias("content"), F.lit(0).alias("start_at"), F.length("t").alias("end_at"), F.lit(False).alias("hard"))
         out = short.unionByName(out)
     return out.withColumnRenamed("piece_index", "chunk_index").withColumnRenamed("k", id_col)
 
 
+#: Tables of at most so many rows may be broadcast.
+BROADCAST_ROWS = 200_000
+#: Items of a document that are numbered in one task.
+NUMBER_BLOCK = 4_096
+
+
+def renumbered(pieces: DataFrame, items: DataFrame, id_col: str, doc_col: str, order_col: str) -> DataFrame:
+    """Pieces with their document and chunk_index from 0 on within it, its items in the order of order_col, then id.
+
+    items: one row for each id; null documents count as one, null places come first. A large document is numbered by blocks of
+    neighbouring places, of which only the counts meet in one task.
+    """
+    counts = pieces.groupBy(F.col(id_col).alias("i")).agg(F.count("*").alias("n"))
+    own = items.select(F.col(id_col).cast("long").alias("i"), F.col(doc_col).alias("d"), F.coalesce(F.col(order_col).cast("long"), F.lit(-1)).alias("o"))
+    own = own.withColumn("b", F.floor(F.col("o") / NUMBER_BLOCK))
+    keyed = materialize(own.join(counts, "i"), "piece-counts")
+    blocks = keyed.groupBy("d", "b").agg(F.sum("n").alias("m"))
+    before = blocks.select("d", "b", (F.sum("m").over(Window.partitionBy("d").orderBy("b")) - F.col("m")).alias("earlier"))
+    inside = Window.partitionBy("d", "b").orderBy("o", "i").rowsBetween(Window.unboundedPreceding, 0)
+    places = keyed.withColumn("within", F.sum("n").over(inside) - F.col("n")).alias("k")
+    places = places.join(before.alias("e"), F.col("k.d").eqNullSafe(F.col("e.d")) & (F.col("k.b") == F.col("e.b")))
+    places = places.select(F.col("i").alias(id_col), F.col("k.d").alias(doc_col), (F.col("earlier") + F.col("within")).alias("offset"))
+    return pieces.join(places, id_col).withColumn("chunk_index", (F.col("offset") + F.col("chunk_index")).cast("int")).drop("offset")
+
+
 def oversized(items: DataFrame, id_col: str, text_col: str, limit: int = 800, overlap: int = 100) -> DataFrame:
     """(id, reason): long for each item that had to be cut, unbroken for each that had to be cut within a run."""
-    pieces = split_oversized(items, id_col, text_col, limit, overlap, texts=False, whole=False)
+    pieces = split_oversized(items, id_col, text_col, limit, overlap, whole=False)
     reasons = F.when(F.col("hard"), F.array(F.lit("long"), F.lit("unbroken"))).otherwise(F.array(F.lit("long")))
     return pieces.select(id_col, F.explode(reasons).alias("reason")).distinct()

@@ -68,6 +68,58 @@ def test_pieces(text, limit, overlap):
     assert any(h for *_, h in got) == (max(map(len, re.split(r"[\s]", text))) > limit)
 
 
+def _plain_split(text, limit, overlap):
+    """The rules of cutting, place by place."""
+
+    def strength(j):
+        a, b = text[j - 1], text[j] if j < len(text) else ""
+        out = 1 if b and b.isspace() else 0
+        if a.isspace():
+            out = max(out, 1)
+            if j > 1 and text[j - 2] in ".!?…":
+                out = max(out, 2)
+            if a in "\n\r":
+                out = 4 if j > 1 and text[j - 2] in "\n\r" and text[j - 2 : j] != "\r\n" else 3
+        return out
+
+    start, end, out = 0, 0, []
+    while len(text) - start > limit:
+        low, high = max(end + 1, start + 1, start + limit // 2), start + limit
+        cuts = [j for j in range(low, high + 1) if strength(j)] or [j for j in range(max(end, start) + 1, low) if strength(j)]
+        if not cuts and start < end:
+            start = end
+            continue
+        end = max(cuts, key=lambda j: (strength(j), j)) if cuts else high
+        out.append((start, end, not cuts))
+        early = max(start + 1, end - overlap)
+        start = next((j for j in range(early, end) if strength(j)), early)
+    return [*out, (start, len(text), False)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab.! \n\r…", max_size=400), st.integers(1, 60), st.integers(0, 59))
+def test_pieces_are_those_of_plain_rules(text, limit, overlap):
+    overlap = min(overlap, limit - 1)
+    got = splitting.split(np.frombuffer(text.encode("utf-32-le"), np.uint32), limit, overlap)
+    assert got == _plain_split(text, limit, overlap)
+
+
+def test_pieces_numbered_within_documents(spark, monkeypatch):
+    monkeypatch.setattr(splitting, "NUMBER_BLOCK", 3)
+    rows = [(i, "d" if i < 40 else None, (i * 7) % 20 if i % 5 else None, "x " * (i * 5)) for i in range(60)]
+    items = spark.createDataFrame(rows, "id long, doc string, place int, content string")
+    pieces = splitting.split_oversized(items, "id", "content", 50, 10)
+    got = sorted((r.doc or "", r.chunk_index, r.id, r.start_at) for r in splitting.renumbered(pieces, items, "id", "doc", "place").collect())
+    want = []
+    for doc in ("d", None):
+        k = 0
+        for i, _, _, text in sorted((r for r in rows if r[1] == doc), key=lambda r: (-1 if r[2] is None else r[2], r[0])):
+            for a, _, _ in splitting.split(np.frombuffer(text.encode("utf-32-le"), np.uint32), 50, 10):
+                want.append((doc or "", k, i, a))
+                k += 1
+    assert got == sorted(want)
+
+
 def test_range_maximum():
     rnd = np.random.default_rng(3)
     s = rnd.integers(0, 5, 300).astype(np.int8)
