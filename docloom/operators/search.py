@@ -64,6 +64,15 @@ def contents(chunks: DataFrame) -> DataFrame:
     return chunks.where("id is not null").groupBy(F.col("id").alias("chunk_id")).agg(F.min(F.struct("document_hash", "content")).alias("c")).select("chunk_id", "c.document_hash", "c.content")
 
 
+def all_contents(chunks: DataFrame) -> DataFrame:
+    """contents() of a whole corpus: only the texts of ids that have several rows are shuffled."""
+    rows = chunks.where("id is not null").select(F.col("id").alias("chunk_id"), "document_hash", "content")
+    again = materialize(rows.groupBy("chunk_id").count().where("count > 1").select("chunk_id"), "again")
+    again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+    several = rows.join(again, "chunk_id", "left_semi").groupBy("chunk_id").agg(F.min(F.struct("document_hash", "content")).alias("c"))
+    return rows.join(again, "chunk_id", "left_anti").unionByName(several.select("chunk_id", "c.document_hash", "c.content"))
+
+
 def with_files(found: DataFrame, chunks: DataFrame, files: DataFrame) -> DataFrame:
     """Candidates with chunk contents and every file of the chunk's document."""
     wanted = contents(chunks.join(found.select(F.col("chunk_id").alias("id")), "id", "left_semi"))
@@ -85,7 +94,7 @@ def semantic_search(vectors: DataFrame, chunks: DataFrame, files: DataFrame, que
 def corpus_words(chunks: DataFrame) -> DataFrame:
     """(chunk_id, dl, words) of each chunk with content: what a keyword index holds. Written once at ingest, it serves
     all searches."""
-    words = contents(chunks).where("content is not null").select("chunk_id", T.tokens(F.col("content")).alias("words"))
+    words = all_contents(chunks).where("content is not null").select("chunk_id", T.tokens(F.col("content")).alias("words"))
     return words.select("chunk_id", F.size("words").alias("dl"), "words")
 
 

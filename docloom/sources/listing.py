@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.operators.filters import DENIED_FOLDERS
-from docloom.runtime import ship_package
+from docloom.runtime import materialize, ship_package
 
 LISTING = "path string, size long, mtime long, is_dir boolean"
 
@@ -33,19 +33,24 @@ def _scan(folder: str) -> Iterator[tuple[str, int, int, bool]]:
             yield e.path, 0 if is_dir else info.st_size, int(info.st_mtime), is_dir
 
 
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows, todo = [], list(batch.column(0).to_pylist())
-        while todo:
-            for row in _scan(todo.pop()):
-                rows.append(row)
-                if row[3]:
-                    todo.append(row[0])
-            if len(rows) >= 10_000:
+def _walk(deep: bool):
+    """Folders to the entries in them, or with deep to all that are below."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, todo = [], list(batch.column(0).to_pylist())
+            while todo:
+                for row in _scan(todo.pop()):
+                    rows.append(row)
+                    if deep and row[3]:
+                        todo.append(row[0])
+                if len(rows) >= 10_000:
+                    yield _batch(rows)
+                    rows = []
+            if rows:
                 yield _batch(rows)
-                rows = []
-        if rows:
-            yield _batch(rows)
+
+    return run
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -55,23 +60,19 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def list_tree(spark: SparkSession, roots: list[str], spread: int = 64) -> DataFrame:
     """(path, size, mtime, is_dir) below the roots. Denied folders are not entered, unreadable ones are skipped; a denied
-    root gives nothing. The roots' first levels are listed here, until there are subtrees for `spread` tasks."""
+    root gives nothing. The first levels are listed one by one by tasks, until there are subtrees for `spread` of them;
+    the driver sees only the roots and the number of folders of a level."""
     ship_package(spark)
-    head: list[tuple] = []
     todo = [r.rstrip("/\\") or r for r in roots if os.path.isdir(r) and _allowed(os.path.basename(r.rstrip("/\\")) or r)]
-    for r in todo:
-        head.append((r, 0, int(os.stat(r).st_mtime), True))
+    top = spark.createDataFrame([(r, 0, int(os.stat(r).st_mtime), True) for r in todo], LISTING)
+    folders, n = top.select("path"), len(todo)
     for _ in range(3):
-        if not todo or len(todo) >= spread:
+        if not n or n >= spread:
             break
-        rows = [row for folder in todo for row in _scan(folder)]
-        head += rows
-        todo = [row[0] for row in rows if row[3]]
-    top = spark.createDataFrame(head, LISTING)
-    if not todo:
-        return top
-    below = spark.createDataFrame([(t,) for t in todo], "path string").repartition(min(spread, len(todo))).mapInArrow(_walk, LISTING)
-    return top.unionByName(below)
+        level = materialize(folders.repartition(min(spread, n)).mapInArrow(_walk(False), LISTING), "level")
+        top, folders = top.unionByName(level), level.where("is_dir").select("path")
+        n = folders.count()
+    return top.unionByName(folders.repartition(min(spread, n)).mapInArrow(_walk(True), LISTING)) if n else top
 
 
 def read_contents(listing: DataFrame, most: int = 104_857_600) -> DataFrame:

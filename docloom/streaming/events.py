@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,6 +12,7 @@ from docloom.functions import text as T
 from docloom.operators.filters import DENIED_FOLDERS, visible
 
 GAP = "2 seconds"
+EVENT = "event_id long, ts timestamp, path string, op string, old_path string, is_dir boolean"
 
 
 def file_events(events: DataFrame) -> DataFrame:
@@ -46,6 +47,12 @@ def route(events: DataFrame) -> DataFrame:
     return events.withColumn("action", action)
 
 
+def read_events(spark: SparkSession, folder: str, files_a_batch: int = 100) -> DataFrame:
+    """A stream of the events that a watcher of the disk writes as JSON lines into a shared folder. A batch takes at most
+    files_a_batch files: what comes faster waits in the folder, so no event is lost and none overflows."""
+    return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files_a_batch).json(folder)
+
+
 def debounce(events: DataFrame, gap: str = GAP) -> DataFrame:
     """(path, first_ts, last_ts, events): bursts of a path's events, each ended by a silence longer than the gap.
 

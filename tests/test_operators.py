@@ -225,9 +225,9 @@ def test_stream_gives_the_same_bursts(spark, tmp_path):
     t = datetime(2024, 1, 1)
     rows = [(i, t + timedelta(seconds=s), p, "write", None, False) for i, (s, p) in enumerate([(0, "a"), (2, "a"), (9, "a"), (1, "b"), (600, "z")])]
     schema = "event_id long, ts timestamp, path string, op string, old_path string, is_dir boolean"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame(rows, schema).coalesce(1).write.json(str(tmp_path / "in"))
     got: list[tuple] = []
-    q = events.watch(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), lambda df, _: got.extend(tuple(r) for r in df.collect()), str(tmp_path / "check"))
+    q = events.watch(events.read_events(spark, str(tmp_path / "in")), lambda df, _: got.extend(tuple(r) for r in df.collect()), str(tmp_path / "check"))
     q.awaitTermination(120)
     batch = events.debounce(spark.createDataFrame(rows, schema)).where("path <> 'z'").collect()
     assert sorted(got) == sorted(tuple(r) for r in batch) and len(got) == 3
@@ -257,6 +257,7 @@ def test_listing_keeps_hidden_and_prunes(spark, tmp_path):
     (tmp_path / "empty").mkdir()
     got = listing.list_tree(spark, [str(tmp_path)])
     names = {r.path.removeprefix(str(tmp_path)) for r in got.collect()}
+    assert sorted(names) == sorted(r.path.removeprefix(str(tmp_path)) for r in listing.list_tree(spark, [str(tmp_path)], spread=1).collect())
     assert {"/_notes.txt", "/_priv/b.txt", "/d/e/f/g/h.md", "/empty"} <= names and not any("node_modules" in n for n in names)
     assert {len(r.content) for r in listing.read_contents(got).collect()} == {60}
 
