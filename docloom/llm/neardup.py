@@ -5,7 +5,9 @@ the words of the parity-check code over the symbols of a block: all (c1..cn) who
 radius 1, and the anchors within radius 1 of a fingerprint are got by correcting one of its n symbols. Two
 fingerprints that differ in at most one symbol of a block (the threshold) have the anchor in common that corrects
 that symbol. So each fingerprint is replicated to n anchors a block, and only fingerprints of one anchor are
-compared: first by a 128-bit sketch, then exactly by the shingle sets.
+compared: first by a 128-bit sketch, then exactly by the shingle sets. An anchor that more than HOT fingerprints share is
+split: there, only those are compared that agree in one of SPLITS further keys of two minhash symbols each, which a pair
+at the least similarity s misses with a chance of (1 - s * s) ** SPLITS (4 in a million at 0.6).
 
 Defined results
 * Words are maximal runs of letters and digits of the lower-cased text; shingles are distinct.
@@ -31,6 +33,8 @@ SKETCH_BITS = 128
 #: Deviations below its expectation at which the sketch of a pair at the threshold may lie.
 SKETCH_SLACK = 3.7
 BROADCAST_ROWS = 200_000
+#: Fingerprints of one anchor beyond which it is split, and the keys by which it is.
+HOT, SPLITS = 4_096, 28
 
 
 def words(text: Column) -> Column:
@@ -117,6 +121,24 @@ def _fingerprints(size: int, least: int, blocks: int, symbols: int):
     return run
 
 
+def _split_keys(size: int):
+    """Batches of (id, word hashes) to (id, keys): SPLITS keys of two minhash symbols, none of them in the fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, n = _shingles(batch.column(1), size)
+            ok = n > 0
+            if not ok.any():
+                continue
+            starts = np.r_[0, np.cumsum(n[ok])[:-1]]
+            two = _minima(values, starts, 2 * SPLITS, 3).astype(np.uint64).reshape(-1, SPLITS, 2)
+            key = _mix(_mix(two[:, :, 0] + np.arange(1, SPLITS + 1, dtype=np.uint64) * np.uint64(1 << 33)) + two[:, :, 1]).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, SPLITS, dtype=np.int32)), pa.array(key.ravel()))
+            yield pa.record_batch([pa.array(np.asarray(batch.column(0))[ok]), lists], names=["id", "keys"])
+
+    return run
+
+
 def _jaccard(size: int):
     """Batches of (a, b, word hashes of a, word hashes of b) to exact similarities."""
 
@@ -135,6 +157,22 @@ def _jaccard(size: int):
     return run
 
 
+def _near(spread: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of rows (id, n, s1, s2, anchor) of one anchor whose sketches and sizes allow the similarity."""
+    expected = SKETCH_BITS * (1 + similarity) / 2
+    slack = SKETCH_SLACK * (SKETCH_BITS * (1 - similarity**2) / 4) ** 0.5
+    a, b = spread.alias("a"), spread.alias("b")
+    differ = F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) + F.bit_count(F.col("a.s2").bitwiseXOR(F.col("b.s2")))
+    close = (differ <= int(SKETCH_BITS - expected + slack)) & (F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n"))
+    near = a.join(b, (F.col("a.anchor") == F.col("b.anchor")) & (F.col("a.id") < F.col("b.id")) & close)
+    return near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+
+
+def _few(keys: DataFrame) -> DataFrame:
+    """Marked for broadcast if there are few."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def _links(records: DataFrame, id_col: str, text_col: str, size: int, similarity: float, least: int, blocks: int, symbols: int):
     """Fingerprints of all records, and the links between classes: (a, b, jaccard) of representatives."""
     ship_package(records.sparkSession)
@@ -146,16 +184,19 @@ def _links(records: DataFrame, id_col: str, text_col: str, size: int, similarity
     cls = prints.select("id", "c1", "c2")
     reps = prints.groupBy("c1", "c2").agg(F.min(F.struct("id", "n", "s1", "s2", "anchors")).alias("r")).select("r.*")
     spread = reps.select("id", "n", "s1", "s2", F.explode("anchors").alias("anchor"))
-    expected = SKETCH_BITS * (1 + similarity) / 2
-    slack = SKETCH_SLACK * (SKETCH_BITS * (1 - similarity**2) / 4) ** 0.5
-    a, b = spread.alias("a"), spread.alias("b")
-    differ = F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) + F.bit_count(F.col("a.s2").bitwiseXOR(F.col("b.s2")))
-    close = (differ <= int(SKETCH_BITS - expected + slack)) & (F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n"))
-    near = a.join(b, (F.col("a.anchor") == F.col("b.anchor")) & (F.col("a.id") < F.col("b.id")) & close)
-    pairs = materialize(near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "near")
+    hot = materialize(spread.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor"), "hot")
+    if hot.limit(1).count():
+        hot = _few(hot)
+        crowd = materialize(spread.join(hot, "anchor", "left_semi"), "crowd")
+        keys = hashed.join(_few(crowd.select("id").distinct()), "id", "left_semi").mapInArrow(_split_keys(size), "id long, keys array<long>")
+        split = crowd.join(keys, "id").select("id", "n", "s1", "s2", "anchor", F.explode("keys").alias("key"))
+        split = split.select("id", "n", "s1", "s2", F.xxhash64("anchor", "key").alias("anchor"))
+        pairs = _near(spread.join(hot, "anchor", "left_anti"), similarity).unionByName(_near(split, similarity))
+    else:
+        pairs = _near(spread, similarity)
+    pairs = materialize(pairs.distinct(), "near")
     ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
-    look = rows.join(F.broadcast(ends), "id", "left_semi") if ends.count() <= BROADCAST_ROWS else rows.join(ends, "id", "left_semi")
-    sets = look.select("id", word_hashes(F.col("text")).alias("words"))
+    sets = rows.join(_few(ends), "id", "left_semi").select("id", word_hashes(F.col("text")).alias("words"))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
     both = both.select("a", "b", "wa", "wb").mapInArrow(_jaccard(size), "a long, b long, jaccard double")
     return cls, reps.select(F.col("id").alias("rep")), both.where(F.col("jaccard") >= similarity - 1e-12)

@@ -341,6 +341,26 @@ def test_near_duplicates_against_brute_force(spark):
     assert neardup.near_duplicate_pairs(df.limit(0), "id", "content", 2, 0.6).count() == 0
 
 
+def test_hot_anchors_are_split_without_loss(spark, monkeypatch):
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    base = [rnd.choice(words) for _ in range(150)]
+    # A third shares one text with few edits, a third only its beginning, the rest nothing.
+    texts = {}
+    for i in range(240):
+        t = list(base) if i % 3 == 0 else base[:40] + [rnd.choice(words) for _ in range(110)] if i % 3 == 1 else [rnd.choice(words) for _ in range(150)]
+        for _ in range(rnd.randint(1, 12)):
+            t[rnd.randrange(len(t))] = rnd.choice(words)
+        texts[i] = t
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "id long, content string")
+    sets = {i: set(zip(w, w[1:])) for i, w in texts.items()}
+    truth = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+    whole = {tuple(r) for r in neardup.near_duplicate_pairs(df, "id", "content", 2, 0.6, 80).collect()}
+    monkeypatch.setattr(neardup, "HOT", 10)
+    split = {tuple(r) for r in neardup.near_duplicate_pairs(df, "id", "content", 2, 0.6, 80).collect()}
+    assert len(truth) > 2500 and split == whole and whole <= truth and len(whole) >= 0.98 * len(truth)
+
+
 def test_least_text_of_an_id_counts(spark):
     rnd = random.Random(5)
     text = lambda n: [f"w{rnd.randrange(3000)}" for _ in range(n)]
