@@ -97,7 +97,7 @@ class Engine:
     def search(self, text: str | None, hybrid: bool = True) -> DataFrame:
         """(file_path, file_name) of the files found, the best first."""
         _, t = self.tables()
-        return search.search(t["vec_chunks"], t["chunks"], t["files"], text, hybrid, self.embedder)
+        return search.search(t["vec_chunks"], t["chunks"], t["files"], text, hybrid, self.embedder, words=t["words"])
 
     def file_info(self, path: str) -> DataFrame:
         return M.file_info(self.tables()[1]["files"], path)

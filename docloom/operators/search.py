@@ -98,9 +98,11 @@ def corpus_words(chunks: DataFrame) -> DataFrame:
     return words.select("chunk_id", F.size("words").alias("dl"), "words")
 
 
-def phrase_matches(chunks: DataFrame, phrase: list[str]) -> DataFrame:
-    """(chunk_id, tf, dl) of every chunk: how often the words follow each other, and how many words there are."""
-    joined = corpus_words(chunks).select("chunk_id", "dl", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("line"))
+def phrase_matches(chunks: DataFrame, phrase: list[str], words: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, tf, dl) of every chunk: how often the words follow each other, and how many words there are. words:
+    corpus_words(chunks), if it is kept; the texts aren't read then."""
+    words = corpus_words(chunks) if words is None else words
+    joined = words.select("chunk_id", "dl", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("line"))
     needle = f" {' '.join(phrase)} "
     # Occurrences may share words: each is matched without being consumed. The words hold no pattern characters.
     count = F.when(F.col("line").contains(needle), F.regexp_count("line", F.lit(f"(?={needle})"))).otherwise(0) if phrase else F.lit(0)
@@ -142,9 +144,9 @@ def reciprocal_ranks(near: DataFrame, words: DataFrame) -> DataFrame:
     return a.join(b, "chunk_id", "full").select("chunk_id", F.round(part("rank_vec") + part("rank_fts"), 9).alias("combined_score"))
 
 
-def hybrid_search(vectors: DataFrame, chunks: DataFrame, files: DataFrame, query: list[float], dim: int, phrase: list[str], k: int = K) -> DataFrame:
+def hybrid_search(vectors: DataFrame, chunks: DataFrame, files: DataFrame, query: list[float], dim: int, phrase: list[str], k: int = K, words: DataFrame | None = None) -> DataFrame:
     """Chunks near the query or holding the phrase, by reciprocal ranks, with every file that holds them, the best first."""
-    fused = reciprocal_ranks(knn(vectors, query, dim, k), bm25(phrase_matches(chunks, phrase)))
+    fused = reciprocal_ranks(knn(vectors, query, dim, k), bm25(phrase_matches(chunks, phrase, words)))
     return _ordered(with_files(fused, chunks, files))
 
 
@@ -197,7 +199,7 @@ def search_batch(vectors: DataFrame, chunks: DataFrame, files: DataFrame, querie
     return with_files(fused.unionByName(close), chunks, files).select("query_id", *RESULT)
 
 
-def search(vectors: DataFrame, chunks: DataFrame, files: DataFrame, text: str | None, hybrid: bool = True, embedder: Embedder = hashing, dim: int = DIM) -> DataFrame:
+def search(vectors: DataFrame, chunks: DataFrame, files: DataFrame, text: str | None, hybrid: bool = True, embedder: Embedder = hashing, dim: int = DIM, words: DataFrame | None = None) -> DataFrame:
     """(file_path, file_name) of the files found for a text, each once, the best first. A blank text finds nothing."""
     text = re.sub(f"^{T.SPACE_PATTERN}+|{T.SPACE_PATTERN}+$", "", text or "")
     if not text:
@@ -207,7 +209,7 @@ def search(vectors: DataFrame, chunks: DataFrame, files: DataFrame, text: str |
         return best_files(semantic_search(vectors, chunks, files, query, dim))
     row = files.sparkSession.createDataFrame([(0, text)], "query_id long, query_text string")
     phrase = phrases_of(row).first()
-    return best_files(hybrid_search(vectors, chunks, files, query, dim, phrase["phrase"] if phrase else []))
+    return best_files(hybrid_search(vectors, chunks, files, query, dim, phrase["phrase"] if phrase else [], words=words))
 
 
 def best_files(results: DataFrame) -> DataFrame:
