@@ -78,18 +78,6 @@ def test_life_of_an_index(spark, tmp_path):
     assert {x.status for x in _files(e).values()} == {"missing"}
 
 
-def test_claimed_ghost_keeps_its_document(spark, tmp_path):
-    root = tmp_path / "docs"
-    a = _write(root, "a.txt", TEXT * 3)
-    e = E.Engine(spark, work_path(spark, "test-ghost"))
-    e.watch([str(root)], 10)
-    e.remove(a, 20)
-    os.rename(a, root / "z.txt")
-    r = e.watch([str(root)], 30)
-    assert r.counts["claimed"] == 1 and r.counts["chunks"] == 0 and {n: x.status for n, x in _files(e).items()} == {"z.txt": "active"}
-    assert e.search("lazy dog").first().file_name == "z.txt"
-
-
 def test_a_dying_step_changes_nothing_and_a_rerun_repeats_nothing(spark, tmp_path):
     root = tmp_path / "docs"
     _write(root, "a.txt", TEXT * 3)

@@ -372,7 +372,7 @@ def test_pdf_reader():
              b"<</Length %d>>stream\n%b\nendstream" % (len(body), body), b"<</Type/Font/Subtype/Type1>>", b"<</Type/Page/Parent 2 0 R/Contents 7 0 R>>", b"<</Filter/LZWDecode/Length 1>>stream\nx\nendstream"]
     data = b"%PDF-1.4\n" + b"".join(b"%d 0 obj%b endobj\n" % (i, p) for i, p in enumerate(parts, 1)) + b"trailer<</Root 1 0 R>>"
     assert pdf.pages(data) == ["Hello (World)\nSecond line\n\u00e4", None]
-    assert office.extract("a.pdf", data) == ("Hello (World)Second line \u00e4", None)
+    assert office.extract("a.pdf", data) == ("Hello (World) Second line \u00e4", None)
     assert "encrypted" in office.extract("a.pdf", data.replace(b"/Root 1 0 R", b"/Root 1 0 R/Encrypt 9 0 R"))[1]
     assert office.extract("a.pdf", text_queries._as_pdf("wor-\nd \U0001f600\n\nzwei\x0cthree"))[0] == "word \U0001f600 zwei three"
     assert office.extract("a.pdf", b"text")[1].startswith("unreadable") and office.extract("a.txt", b"x" * (office.LONGEST_LINE + 1))[1]
