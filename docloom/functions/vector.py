@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,20 @@ def normalize(v: Column) -> Column:
     return F.zip_with(v, F.array_repeat(scale, F.size(v)), lambda x, n: x.cast("double") / n)
 
 
+def rounded(x: Column, places: int = 6) -> Column:
+    """x as SQL rounds a double: half away from zero, and what is rounded to zero keeps its sign (F.round drops it)."""
+    return F.signum(x) * F.round(F.abs(x) * 10.0**places) / 10.0**places
+
+
+def distinct_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """Each key and vector once. 0.0 equals -0.0, as in distinct(), which however makes all zeros 0.0: here the signs stay,
+    and of vectors that differ in them only one is taken, the one with a plus first."""
+    # The inverse tells the sign of a zero (-Infinity); comparisons and atan2 do not.
+    signs = F.transform(vector, lambda x: F.pow(x, F.lit(-1.0)) < 0)
+    rows = df.select(key, vector, signs.alias("_minus")).groupBy(key, vector).agg(F.min("_minus").alias("_minus"))
+    return rows.select(key, F.zip_with(vector, "_minus", lambda x, minus: F.when(minus, -F.abs(x)).otherwise(x)).alias(vector))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Null where a length is 0."""
     return F.try_divide(dot(a, b), norm(a) * norm(b))

@@ -109,7 +109,7 @@ def cosine_similarity(spark, sf):
 
 def vector_normalize(spark, sf):
     v = table(spark, sf, "vec_chunks").where(V.usable(F.col("embedding"), DIM))
-    return v.select("chunk_id", F.transform(V.normalize(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit")).distinct()
+    return V.distinct_vectors(v.select("chunk_id", F.transform(V.normalize(F.col("embedding")), lambda x: V.rounded(x)).alias("unit")), "chunk_id", "unit")
 
 
 def vector_mean_pool(spark, sf):

@@ -5,6 +5,7 @@ import os
 import zipfile
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -67,6 +68,18 @@ def test_vectors(spark):
     assert tuple(got[1]) == (1.0, None, [0.0, 0.0])
 
 
+def test_vectors_rounded_as_sql(spark):
+    """Bit for bit: the sign of zeros, and halves that only the product with a million shows."""
+    x = [-1e-9, -0.0, 0.0, 1e-9, 0.0000005, -0.0000005, 4.9999999999999994e-07, 0.1308335, -0.044401499999999997, 0.8029094999999999, -1.0]
+    got = spark.createDataFrame([(v,) for v in x], "x double").select("x", V.rounded(F.col("x"))).collect()
+    want = {repr(v): repr(duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0]) for v in x}
+    assert {repr(a): repr(b) for a, b in got} == want
+    rows = [(1, [0.0, 1.0]), (1, [-0.0, 1.0]), (1, [0.0, -1.0]), (2, [-0.0, 1.0]), (2, [-0.0, 1.0]), (3, [0.0, 1.0]), (None, [-0.0, 1.0])]
+    for order in (rows, rows[::-1]):
+        got = V.distinct_vectors(spark.createDataFrame(order, "i int, u array<double>").coalesce(1), "i", "u").collect()
+        assert sorted(map(repr, map(tuple, got))) == ["(1, [0.0, -1.0])", "(1, [0.0, 1.0])", "(2, [-0.0, 1.0])", "(3, [0.0, 1.0])", "(None, [-0.0, 1.0])"]
+
+
 def test_filters(spark):
     rows = spark.createDataFrame(
         [("a.txt", "/d", 50), ("a.txt", "/d", 49), ("a.TXT", "/d", 104857600), ("a.txt", "/d", 104857601), (".hidden.txt", "/d", 99), ("~$a.docx", "/d", 99), ("_n.txt", "/d", 99), ("x.log", "/d", 99),

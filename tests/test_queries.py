@@ -34,6 +34,12 @@ def test_same_as_sql(spark, con, name):
     assert rows_of(df.columns, df.collect()) == rows_of(cols, cur.fetchall())
 
 
+def test_normalize_same_bits_as_sql(spark, con):
+    """rows_of takes -0.0 for 0.0; here the signs count."""
+    mine = [repr(tuple(r)) for r in QUERIES["vector_normalize"](spark, DATA).select("chunk_id", "unit").collect()]
+    assert sorted(mine) == sorted(map(repr, con.execute(f"SELECT chunk_id, unit FROM ({ORACLE['vector_normalize']})").fetchall()))
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
